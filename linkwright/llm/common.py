@@ -84,3 +84,14 @@ def slices(sizes, limit: int):
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join rows with a lookup that has one row per key, when few keys may hold most rows.
+
+    The lookup is copied `salts` times, and a row goes to the copy that a hash
+    of its column `by` names, so that the rows of one key spread over as many tasks.
+    """
+    copies = lookup.withColumnRenamed(key, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return salted.join(copies, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_copy")), how).drop("_key", "_copy", "_salt")
