@@ -12,10 +12,11 @@ time order, so a shingle's process stops as soon as it is later than all
 registers: a document of n shingles costs about n + M log M points.
 
 Registers are banded. Members of a bucket are compared with its smallest
-member first; what remains in different components although it shares a bucket
-is compared further until no untested pair of different components is left.
-Links are exact: the multisets' overlap, from the whole texts, of SIMILARITY
-at least. Equal word sequences are one class and are compared once.
+member; that settles most buckets. In buckets that still hold several
+components all members are compared, in blocks: a pair of blocks is one sparse
+matrix product, from which only stars of connected documents come out, never
+pairs. Links are exact: the multisets' overlap, from the whole texts, of
+SIMILARITY at least. Equal word sequences are one class and are compared once.
 
 The texts are read twice, and only those of bucket-mates are shuffled: a bitmap
 of fixed size, filled by hash of their ids, goes to all readers before.
@@ -23,11 +24,14 @@ of fixed size, filled by hash of their ids, goes to all readers before.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import block_pairs, dealt, spread_labels
 from .common import materialize, release, salted_join, slices
 from .components import connected_components
 
@@ -39,10 +43,8 @@ M = BANDS * ROWS
 CHUNK_WORDS = 1_500_000
 #: Bits of the filter of ids: 4 MB, whatever the corpus.
 FILTER_BITS = 1 << 25
-#: Compare all that is left in unsettled buckets once it is at most so many pairs per member,
-LINEAR = 4
-#: or after so many rounds in which it is compared with the best linked member of each.
-HUB_ROUNDS = 3
+#: Documents, and about so many bytes of text, of a block in which all are compared.
+BLOCK, BLOCK_BYTES = 512, 16_000_000
 
 _MASK = (1 << 64) - 1
 _COEF = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 | 1) & _MASK for i in range(max(SHINGLE, ROWS))], np.uint64)
@@ -241,25 +243,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     ids = members.select("id").distinct()
     texts = materialize(_filtered(docs, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]), "bag-texts")
     pairs = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    tested = materialize(pairs, "bag-pairs")
-    links = materialize(verified(tested, texts, similarity), "bag-links")
-
-    for step in range(HUB_ROUNDS + 2):
+    links = materialize(verified(pairs, texts, similarity), "bag-links")
+
+    groups = materialize(connected_components(links), "bag-groups")
+    rest = _unsettled(members, groups)
+    sizes = rest.join(texts.select("id", F.length("words").alias("bytes")), "id").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = materialize(sizes, "bag-sizes")
+    if not sizes.isEmpty():
+        meets = block_pairs(rest.select("key", "id"), sizes, F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)))
+        full = dealt(meets.join(_shingled(texts.join(rest.select("id").distinct(), "id")), "id").select("key", "lo", "hi", "block", "id", "shingles"))
+        stars = full.mapInArrow(_verifier(similarity), "a long, b long").distinct()
+        links = materialize(links.select("a", "b").union(stars), "bag-links")
         groups = materialize(connected_components(links), "bag-groups")
-        rest = _unsettled(members, groups)
-        sizes = rest.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        total = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
-        if not total[0]:
-            break
-        every = step >= HUB_ROUNDS or total[1] <= LINEAR * total[0]
-        more = (_all_across(rest) if every else _hubs(rest, links)).join(tested, ["a", "b"], "left_anti")
-        more = materialize(more, "bag-pairs")
-        if not more.isEmpty():
-            links = materialize(links.union(verified(more, texts, similarity)), "bag-links")
-            tested = materialize(tested.union(more), "bag-pairs")
-        if every:  # all that shares a bucket is now tested or connected
-            groups = materialize(connected_components(links), "bag-groups")
-            break
 
     group = classes.join(groups, classes["rep"] == groups["id"], "left").select("words_key", F.coalesce("component", "rep").alias("class_id"))
     out = salted_join(sig, group, "words_key", "doc_id")
@@ -275,18 +270,79 @@ def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
     return materialize(now.join(materialize(mixed, "bag-mixed"), "key", "left_semi"), "bag-rest")
 
 
-def _all_across(rest: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members that are in different components."""
-    a, b = rest.alias("p"), rest.alias("q")
-    both = a.join(b, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")))
-    return both.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+def _shingled(texts: DataFrame) -> DataFrame:
+    """id, shingles: the hashes of a text's shingles, sorted."""
+
+    def run(batches):
+        cache = WordHashes()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                found = [np.sort(shingle_hashes(word_hashes(t.split(), cache))) for t in batch.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "shingles"])
 
+    return texts.select("id", "words").mapInArrow(run, "id long, shingles array<long>")
 
-def _hubs(rest: DataFrame, links: DataFrame) -> DataFrame:
-    """Each bucket's member with most links so far, with the members of other components."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
-    ranked = rest.join(degree, "id", "left").select("key", "id", "component", F.coalesce("count", F.lit(0)).alias("degree"))
-    top = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"), "component")).alias("top"))
-    top = materialize(top.select("key", (-F.col("top.low")).alias("hub"), F.col("top.component").alias("own")), "bag-hubs")
-    both = rest.join(top, "key").where("component <> own")
-    return both.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+def overlaps(items: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the multiset intersections of sorted items, for each of left (rows) and right (columns).
+
+    Occurrences of an item are numbered, so that multisets become sets; items
+    that one document alone has are dropped, and the rest is a matrix product
+    over some columns at a time.
+    """
+    used = np.union1d(left, right)
+    doc = np.repeat(used, [len(items[i]) for i in used])
+    flat = np.concatenate([items[i] for i in used])
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
+    nth = np.arange(len(flat)) - np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))
+    with np.errstate(over="ignore"):
+        flat = np.where(nth > 0, mix(flat.view(np.uint64) + nth.astype(np.uint64) * _GOLD).view(np.int64), flat)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = count[column] > 1
+    renumber = np.cumsum(count > 1) - 1
+    doc, column = doc[keep], renumber[column[keep]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    at_left, at_right = np.full(len(items), -1), np.full(len(items), -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (low, low + width))
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        d, c = doc[a:b], column[a:b] - low
+        x[at_left[d[at_left[d] >= 0]], c[at_left[d] >= 0]] = 1
+        y[at_right[d[at_right[d] >= 0]], c[at_right[d] >= 0]] = 1
+        out += x @ y.T
+    return out
+
+
+def _verifier(similarity: float):
+    """Stars that connect what is similar within a pair of blocks: a (smallest reachable), b."""
+
+    def rows(batches):
+        for b in batches:
+            heads = list(zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+            for i, (key, lo, hi, block, doc) in enumerate(heads):
+                yield (key, lo, hi), block, doc, b.column(5)[i].values.to_numpy()
+
+    def run(batches):
+        for (_, lo, hi), group in groupby(rows(batches), key=lambda r: r[0]):
+            _, block, ids, items = zip(*group, strict=True)
+            ids, block, sizes = np.array(ids, np.int64), np.array(block), np.array([len(i) for i in items])
+            left = np.flatnonzero(block == lo)
+            right = left if lo == hi else np.flatnonzero(block == hi)
+            if not len(left) or not len(right):
+                continue
+            both = overlaps(list(items), left, right)
+            of = both / (sizes[left][:, None] + sizes[right][None, :] - both)
+            found = np.argwhere(of >= similarity)
+            root = spread_labels(len(ids), left[found[:, 0]], right[found[:, 1]])
+            b = np.flatnonzero(root != np.arange(len(ids)))
+            if len(b):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[root[b]]), pa.array(ids[b])], ["a", "b"])
+
+    return run

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import block_pairs, dealt, spread_labels
 from .common import materialize, release, salted_join
 from .components import connected_components
 
@@ -148,7 +149,6 @@ def _handled_here(key: int, a: np.ndarray, b: np.ndarray, shared: int) -> np.nda
 def _block(key: int, ids: np.ndarray, near: np.ndarray, x: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float, shared: int):
     """Links inside `left` (right None) or between left and right (row numbers): ids, links by weight, and stars."""
     links = np.zeros(len(ids), np.int64)
-    root = np.arange(len(ids))
     other = left if right is None else right
     found = _linked(x[left], x[other], threshold)
     i, j = left[found[:, 0]], other[found[:, 1]]
@@ -159,18 +159,7 @@ def _block(key: int, ids: np.ndarray, near: np.ndarray, x: np.ndarray, weight: n
         own = _handled_here(key, near[p], near[q], shared)
         np.add.at(links, p[own], weight[q[own]])
         np.add.at(links, q[own], weight[p[own]])
-    while len(i):  # the smallest label spreads over the links, with short cuts
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return links, root
+    return links, spread_labels(len(ids), i, j)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -203,14 +192,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         near = materialize(_described(reps, pivots, nearest), "vec-near")
         cells = materialize(_listed(near, shared), "vec-cells")
         sizes = materialize(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "vec-sizes")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        meets = cells.join(sizes, "key").withColumn("blocks", blocks)
-        meets = meets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        meets = meets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        meets = meets.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id")
+        meets = block_pairs(cells, sizes, F.ceil(F.col("n") / BLOCK))
         full = meets.join(reps.join(near, "id"), "id").select("key", "lo", "hi", "block", "id", "near", "embedding", "weight")
-        full = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-        out = materialize(full.mapInArrow(_verifier(threshold, shared), "id long, links long, root long"), "vec-out")
+        out = materialize(dealt(full).mapInArrow(_verifier(threshold, shared), "id long, links long, root long"), "vec-out")
         release(cells)
         links = out.groupBy("id").agg(F.sum("links").alias("links"))
         edges = out.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
