@@ -1,12 +1,84 @@
-"""The corpus pipeline: stages that turn `documents` into packed sequences."""
+"""The corpus pipeline: five stages from `documents` to packed sequences.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's docs. All but the last return the
+columns of documents. Texts move only where a stage changes or repeats them:
+what is dropped or changed is told apart by a bitmap of fixed size first.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkwright import ship
+from linkwright.llm import bagminhash, chunking, langid, mixing, packing
+from linkwright.llm.common import materialize, maybe_in, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language go on; those without letters and ambiguous ones go."""
+    ship(spark)
+    found = langid.identify(docs.select(*COLUMNS))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest doc_id; of rows with the same doc_id, one."""
+    ship(spark)
+    docs = docs.select(*COLUMNS)
+    found = bagminhash.near_duplicates(docs)
+    groups = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    touched = materialize(groups.where("not kept or n > 1"), "near-touched")
+    marked = maybe_in(docs, "doc_id", touched.select("doc_id"))
+    some = marked.where("maybe").select(*COLUMNS)
+    untouched = some.join(touched.select("doc_id"), "doc_id", "left_anti")
+    repeated = some.join(touched.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return marked.where(~F.col("maybe")).select(*COLUMNS).unionByName(untouched).unionByName(repeated)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; a document of which no word is left goes."""
+    ship(spark)
+    found = chunking.dedup_passages(docs.select(*COLUMNS))
+    emptied = (F.col("removed_words") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = found.where(~emptied).withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*COLUMNS)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    ship(spark)
+    docs = docs.select(*COLUMNS)
+    mixed = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    mixed = materialize(mixed.withColumnRenamed("doc_id", "id"), "mix-chosen")
+    chosen = maybe_in(docs, "doc_id", mixed.select("id")).where("maybe").select(*COLUMNS)
+    taken = chosen.join(mixed, F.col("doc_id").eqNullSafe(F.col("id")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All copies of all documents, in sequences of 2048 tokens."""
+    ship(spark)
+    return packing.pack_documents(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", source_mixing),
+    ("best-fit packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: The stages' hashes and tokenizer are not in SQL's reach; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

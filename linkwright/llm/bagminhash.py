@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, dealt, spread_labels
-from .common import materialize, release, salted_join, slices
+from .common import materialize, maybe_in, release, salted_join, slices
 from .components import connected_components
 
 SHINGLE = 5
@@ -41,8 +41,6 @@ BANDS, ROWS = 21, 6
 M = BANDS * ROWS
 #: Words that are sketched at a time.
 CHUNK_WORDS = 1_500_000
-#: Bits of the filter of ids: 4 MB, whatever the corpus.
-FILTER_BITS = 1 << 25
 #: Documents, and about so many bytes of text, of a block in which all are compared.
 BLOCK, BLOCK_BYTES = 512, 16_000_000
 
@@ -205,21 +203,6 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return both.mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
 
 
-def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of documents whose id may be among ids: all of those, and few others.
-
-    A bitmap of FILTER_BITS is made by aggregation on the executors, 4 KB per
-    32,768 hash values, and broadcast: FILTER_BITS / 8 bytes at most.
-    """
-    place = F.pmod(F.xxhash64(F.col("id")), F.lit(FILTER_BITS))
-    bitmap = ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("words"))
-    keyed = keyed.withColumn("h", place).withColumn("part", F.bitmap_bucket_number("h")).withColumn("at", F.bitmap_bit_position("h"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    is_set = F.expr("shiftright(byte, cast(at % 8 as int)) & 1") == 1
-    return keyed.join(F.broadcast(bitmap), "part").withColumn("byte", byte).where(is_set).select("id", "words")
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its near-duplicate group), kept, n_shingles.
 
@@ -241,7 +224,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     release(shared)
 
     ids = members.select("id").distinct()
-    texts = materialize(_filtered(docs, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]), "bag-texts")
+    near = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("words"))
+    near = maybe_in(near, "id", ids).where("maybe").select("id", "words")
+    texts = materialize(near.join(ids, "id", "left_semi").dropDuplicates(["id"]), "bag-texts")
     pairs = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(verified(pairs, texts, similarity), "bag-links")
 

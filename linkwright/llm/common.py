@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that separate words.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bits of a filter of ids: 4 MB, whatever the corpus.
+FILTER_BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,3 +97,20 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, how: str
     copies = lookup.withColumnRenamed(key, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     return salted.join(copies, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_copy")), how).drop("_key", "_copy", "_salt")
+
+
+def maybe_in(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """Add the column `maybe`: true for all rows whose id is among ids (one column), and for few others.
+
+    A bitmap of FILTER_BITS is made of hashes of the ids by an aggregation on
+    the executors, 4 KB per 32,768 hash values, and broadcast: 4 MB at most,
+    whatever there is. Where ids are very many it lets more rows pass; an exact
+    join follows.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+    hashes = ids.select(place(ids.columns[0]).alias("_h"))
+    bitmap = hashes.groupBy(F.bitmap_bucket_number("_h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    keyed = rows.withColumn("_h", place(col)).withColumn("_part", F.bitmap_bucket_number("_h")).withColumn("_at", F.bitmap_bit_position("_h"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = keyed.join(F.broadcast(bitmap), "_part", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
+    return found.withColumn("maybe", F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1).drop("_h", "_part", "_at", "_bits", "_byte")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, mixing, near_vectors, packing, sharding
+from . import bagminhash, chat, chunking, langid, mixing, near_vectors, packing, quality, sharding, warc
 from .common import table
 
 
@@ -16,10 +16,33 @@ def op2_pivot_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_chunk_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunking.dedup_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "removed_words", "spans", "text")
+
+
+def op5_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return found.select("doc_id", *measures)
+
+
+def op6_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_predictions(table(spark, sf_dir, "documents"))
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_snapshot_collapse_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,10 +56,15 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op2_pivot_near_vectors,
+        op3_warc_salvage,
+        op4_chunk_substring_dedup,
+        op5_divergence_quality,
+        op6_ecoc_language_id,
         op7_pareto_mixing,
+        op8_snapshot_collapse_chat,
         op9_bagminhash_near_duplicates,
         op10_bounded_ring_sharding,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_snapshot_collapse_chat": chat.ORACLE}
