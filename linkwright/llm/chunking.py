@@ -156,10 +156,12 @@ def runs(chunked: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     return grouped.where(F.col("words") >= run_words).select("doc", "start", "size", "first_doc", (F.col("start") - F.col("shift")).alias("first_start"))
 
 
-def extend(text: bytes, at: int, size: int, left: bytes, right: bytes) -> tuple[int, int, int]:
+def extend(text: bytes, at: int, size: int, left: bytes, right: bytes, begins: bool = True, ends: bool = True) -> tuple[int, int, int]:
     """The whole words in the widest match around text[at : at + size]: from, to, words.
 
-    left and right: what stands before and after the same bytes in the other text.
+    left and right: what stands before and after the same bytes in the other
+    text. begins, ends: whether text is cut out of a longer one on neither side;
+    where it is, a word at that edge is not whole.
     """
     low, high = at, at + size
     for i in range(1, min(at, len(left)) + 1):
@@ -171,8 +173,8 @@ def extend(text: bytes, at: int, size: int, left: bytes, right: bytes) -> tuple[
             break
         high = at + size + i + 1
     space = b" \t\n\r\x0b\x0c"
-    cut_left = low > 0 and text[low - 1] not in space
-    cut_right = high < len(text) and text[high] not in space
+    cut_left = text[low - 1] not in space if low else not begins
+    cut_right = text[high] not in space if high < len(text) else not ends
     if cut_left:
         while low < high and text[low] not in space:
             low += 1
@@ -204,7 +206,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int =
         for batch in batches:
             out = []
             for doc, first, start, size, lead, text, left, right in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                low, high, words = extend(text, lead, size, left, right)
+                low, high, words = extend(text, lead, size, left, right, lead == start, len(text) < lead + size + CONTEXT)
                 if words >= min_words:
                     out.append((doc, start - lead + low, start - lead + high, words, first))
             cols = zip(*out, strict=True) if out else [[]] * 5
