@@ -7,9 +7,10 @@ class. A document far from its language in either is rejected; below a minimum
 length a histogram says too little and is not judged. Simple base rules
 (too short, too repetitive) come first.
 
-All of it is Catalyst expressions on one row: texts are never shuffled. What
-the corpus is asked for are sums per language and counts of short words,
-pre-aggregated in each task.
+All of it is Catalyst expressions on one row: texts are never shuffled. The
+texts are read twice: once to count short words by language, pre-aggregated in
+each task, once to measure the documents. The measures are a small table, from
+which come the languages' character classes and then the verdicts.
 """
 
 from __future__ import annotations
@@ -21,23 +22,25 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, materialize
 
-#: Character classes by pattern; what is left of a text's characters are lower-case letters and other letters.
+#: Character classes by pattern; what is left of a text's characters are other letters and rare symbols.
 CLASSES = {
     "upper": r"\p{Lu}",
     "digit": r"\p{Nd}",
     "stop": r"[.,;:?'\"()\-]",
-    "symbol": r"[^\p{L}\p{M}\p{Nd}\x20\x09-\x0D.,;:?'\"()\-]",
+    "symbol": r"[!#$%&*+/<=>@\[\\\]^_`{|}~]",
 }
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 #: Common words of a language that make up its histogram, and how long they are at most.
 N_COMMON, COMMON_LENGTH = 24, 6
+#: Bits for a window's number in a sort key: texts of up to 2**24 words.
+POSITION = 24
 #: Languages with references of their own, by number of documents; others are held against the whole corpus.
 MAX_LANGUAGES = 64
 MIN_WORDS = 50
 #: A repeated 3-word window covers at most this share of the words.
 MAX_REPEATED = 0.5
 #: Characters and words under which a histogram is not judged.
-MIN_JUDGED_CHARS, MIN_JUDGED_WORDS = 200, 120
+MIN_JUDGED_CHARS, MIN_JUDGED_WORDS = 200, 160
 #: Largest distances of a document that is kept, beyond the distance that chance alone gives (see `tolerated`).
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.2
 
@@ -47,39 +50,49 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+def repeated_words(windows: Column, ordered: Column) -> Column:
+    """How many words stand in 3-word windows that occur twice or more.
 
-
-def repeated_words(words: Column) -> Column:
-    """How many words stand in 3-word windows that occur twice or more."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = let(
-        hashes,
-        lambda h: F.transform(
-            F.when(F.size(h) >= 3, F.sequence(F.lit(0), F.size(h) - 3)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("h"), i.alias("i")),
-        ),
-    )
-    again = let(F.sort_array(windows), lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])))
-    starts = F.sort_array(F.transform(again, lambda x: x["i"]))
+    windows: a hash per window. ordered: the upper bits of the hashes with the
+    window's number in the lower POSITION bits, sorted, so that equal windows
+    are neighbours (whose whole hashes are then compared).
+    """
+    low = F.lit((1 << POSITION) - 1).cast("long")
+    number = lambda x: x.bitwiseAND(low).cast("int")
+    same = lambda x, y: (F.shiftright(x, POSITION) == F.shiftright(y, POSITION)) & (F.get(windows, number(x)) == F.get(windows, number(y)))
+    again = F.filter(ordered, lambda x, k: F.coalesce(same(x, F.get(ordered, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(ordered, k + 1)), F.lit(False)))
+    starts = F.sort_array(F.transform(again, number))
     covered = let(starts, lambda p: F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))))
     return F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def with_measures(docs: DataFrame) -> DataFrame:
-    """docs with _text, _words and the measures of the base rules and classes of characters."""
+    """docs with _words and the measures of the base rules and classes of characters.
+
+    Every column that a later one uses more than once is a step of its own:
+    Catalyst keeps such steps apart, so nothing is computed twice, and what a
+    lambda looks up is a column that exists.
+    """
     text = F.col("_text")
-    docs = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_words", words_of(text))
-    bare = F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+    docs = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    docs = docs.withColumn("_parts", F.split(text, r"[\x20\x09-\x0D]", -1))
+    docs = docs.withColumn("_words", F.filter("_parts", lambda w: w != ""))
+    hashes = F.transform("_words", lambda w: F.xxhash64(w))
+    docs = docs.withColumn("_hashes", hashes).withColumn("_n", F.size("_words"))
+    window = lambda i: F.xxhash64(F.get("_hashes", i), F.get("_hashes", i + 1), F.get("_hashes", i + 2))
+    places = F.when(F.col("_n") >= 3, F.sequence(F.lit(0), F.col("_n") - 3)).otherwise(F.array().cast("array<int>"))
+    docs = docs.withColumn("_windows", F.transform(places, window))
+    keyed = F.transform("_windows", lambda h, i: F.shiftleft(F.shiftright(h, POSITION), POSITION) + i)
+    docs = docs.withColumn("_ordered", F.sort_array(keyed))
+    repeated = F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0).cast("long")).otherwise(repeated_words(F.col("_windows"), F.col("_ordered")))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return docs.select(
         "*",
-        F.size("_words").cast("long").alias("n_words"),
-        bare.cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.col("_n").cast("long").alias("n_words"),
+        (F.length(text) - F.size("_parts") + 1).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
+        repeated.alias("n_repeat_words"),
         *(F.regexp_count(text, F.lit(p)).cast("long").alias(f"_{name}") for name, p in CLASSES.items()),
     )
 
@@ -91,15 +104,14 @@ def _class_counts() -> Column:
     return F.array(*some, letters)
 
 
-def js_distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of counts from a reference distribution; null where counts are all zero."""
+def js_distance(counts: str, total: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance of the column `counts`, which sums to total, from a reference distribution; null if total is 0."""
 
     def part(p: Column, q: Column) -> Column:
         m = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0)) + F.when(q > 0, q * F.log2(q / m)).otherwise(F.lit(0.0))
 
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    of = let(total, lambda t: F.aggregate(F.zip_with(counts, reference, lambda c, q: part(c / t, q)), F.lit(0.0), lambda a, x: a + x))
+    of = F.aggregate(F.zip_with(F.transform(counts, lambda c: c / total), reference, part), F.lit(0.0), lambda a, x: a + x)
     return F.when(total > 0, F.sqrt(F.greatest(of / 2, F.lit(0.0))))
 
 
@@ -122,71 +134,64 @@ def common_counts(words: Column, common: Column) -> Column:
     )
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """One row per language (null: the whole corpus): _lang, chars, common, words (distributions).
+def _languages(docs: DataFrame) -> DataFrame:
+    """The MAX_LANGUAGES languages with most documents, as `own`."""
+    counts = docs.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    return materialize(counts.orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).select(F.col("lang").alias("own")), "quality-langs")
 
-    At most MAX_LANGUAGES + 1 rows. A corpus without words gives distributions of zeros.
-    """
-    texts = docs.select("lang", F.coalesce("text", F.lit("")).alias("_text"))
-    counts = texts.select(
-        "lang",
-        F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        *(F.regexp_count("_text", F.lit(p)).cast("long").alias(f"_{name}") for name, p in CLASSES.items()),
-    )
-    sums = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(c).alias(c) for c in counts.columns[1:]))
-    sums = materialize(sums, "quality-chars")
-    words = texts.select("lang", F.explode(words_of(F.col("_text"))).alias("word"))
-    short = (F.length("word") <= COMMON_LENGTH) & F.col("word").rlike(r"^\p{L}+$")
-    tally = words.select("lang", F.when(short, F.col("word")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    tally = materialize(tally, "quality-words")
-
-    own = sums.where("lang is not null").orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).select("lang")
-    keys = materialize(own.select(F.col("lang").alias("_lang"), F.col("lang").alias("key")), "quality-langs")
-    pick = lambda df: df.join(F.broadcast(keys), df["lang"] == keys["key"]).drop("key")  # noqa: E731  MAX_LANGUAGES rows
-
-    def rolled(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-        """Sums per language of the list, and over all languages under the null language."""
-        some = pick(df).select("_lang", *by, *names)
-        every = df.groupBy(*by).agg(*(F.sum(n).alias(n) for n in names)) if by else df.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
-        return some.unionByName(every.withColumn("_lang", F.lit(None).cast("string")))
-
-    chars = rolled(sums, [], ["word_chars", *(f"_{c}" for c in CLASSES)])
-    share = lambda x: F.when(F.col("word_chars") > 0, x / F.col("word_chars")).otherwise(F.lit(0.0))
-    chars = chars.select("_lang", F.transform(_class_counts(), share).alias("chars"))
-    by_word = rolled(tally, ["word"], ["n"])
-    total = by_word.groupBy("_lang").agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
+
+def _with_total(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """df (own, by, names) as it is for named languages, and summed over all rows under the null language."""
+    every = df.groupBy(*by).agg(*(F.sum(n).alias(n) for n in names)) if by else df.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
+    return df.where("own is not null").select("own", *by, *names).unionByName(every.withColumn("own", F.lit(None).cast("string")))
+
+
+def word_references(docs: DataFrame) -> DataFrame:
+    """own (null: the whole corpus), common (words), words (their shares, and last that of all others)."""
+    words = docs.select("own", F.explode(F.split(F.coalesce("text", F.lit("")), SPACE)).alias("word")).where("word <> ''")
+    tally = words.select("own", F.when(F.length("word") <= COMMON_LENGTH, F.col("word")).alias("word")).groupBy("own", "word").agg(F.count(F.lit(1)).alias("n"))
+    tally = materialize(tally.withColumn("word", F.when(F.col("word").rlike(r"^\p{L}+$"), F.col("word"))), "quality-words")
+    by_word = _with_total(tally.groupBy("own", "word").agg(F.sum("n").alias("n")), ["word"], ["n"])
+    total = by_word.groupBy("own").agg(F.sum("n").alias("total"))
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("n"), "word"))
     top = by_word.where("word is not null").withColumn("rank", rank).where(F.col("rank") <= N_COMMON)
-    top = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    top = total.join(top, total["_lang"].eqNullSafe(top["_lang"]), "left").select(total["_lang"].alias("w_lang"), "total", F.coalesce("top", F.array().cast("array<struct<rank:int,word:string,n:bigint>>")).alias("top"))
+    top = top.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top")).withColumnRenamed("own", "o")
+    both = total.join(top, F.col("own").eqNullSafe(F.col("o")), "left").withColumn("top", F.coalesce("top", F.array().cast("array<struct<rank:int,word:string,n:bigint>>")))
     shares = F.transform("top", lambda x: x["n"] / F.col("total"))
     rest = F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
-    words_ = top.select("w_lang", F.transform("top", lambda x: x["word"]).alias("common"), F.concat(shares, F.array(rest)).alias("words"))
-    found = chars.join(words_, chars["_lang"].eqNullSafe(words_["w_lang"]), "left")
-    empty = F.array().cast("array<string>")
-    return materialize(found.select("_lang", "chars", F.coalesce("common", empty).alias("common"), F.coalesce("words", F.array(F.lit(0.0))).alias("words")), "quality-references")
+    return materialize(both.select("own", F.transform("top", lambda x: x["word"]).alias("common"), F.concat(shares, F.array(rest)).alias("words")), "quality-references")
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """All columns of docs with the measures, distances, base_failed and kept.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of docs with the measures, char_distance, word_distance, base_failed and kept.
 
     docs needs text and lang. A null text is one without words, a null lang or
     one beyond the MAX_LANGUAGES most frequent is held against the whole
-    corpus. Repeated rows are judged each for itself. Columns named like the
-    results are replaced; an empty table gives no rows.
+    corpus. Repeated rows are judged each for itself. Other columns are
+    ignored; an empty table gives no rows.
     """
-    told = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept"]
-    names = [c for c in docs.columns if c not in told]
-    refs = references(docs)
-    listed = refs.where("_lang is not null").select(F.col("_lang").alias("_own"))
-    # at most MAX_LANGUAGES + 1 rows of some hundred bytes: both broadcasts are bounded
-    known = docs.select(*names).join(F.broadcast(listed), F.col("lang") == F.col("_own"), "left")
-    held = with_measures(known).join(F.broadcast(refs), F.col("_own").eqNullSafe(F.col("_lang")), "left")
-    char = F.when(F.col("word_chars") >= MIN_JUDGED_CHARS, js_distance(_class_counts(), F.col("chars")))
-    word = F.when(F.col("n_words") >= MIN_JUDGED_WORDS, js_distance(common_counts(F.col("_words"), F.col("common")), F.col("words")))
-    held = held.withColumn("char_distance", char).withColumn("word_distance", word)
+    carried = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    # both broadcasts are bounded: MAX_LANGUAGES + 1 rows of some hundred bytes
+    known = docs.select(*carried, "text", "lang").join(F.broadcast(_languages(docs)), F.col("lang") == F.col("own"), "left")
+    refs = word_references(known.select("own", "text")).withColumnRenamed("own", "r")
+    held = with_measures(known).join(F.broadcast(refs), F.col("own").eqNullSafe(F.col("r")), "left")
+    held = held.withColumn("_counts", common_counts(F.col("_words"), F.col("common")))
+    word = F.when(F.col("n_words") >= MIN_JUDGED_WORDS, js_distance("_counts", F.col("n_words"), F.col("words")))
+    names = [f"keep_{i}" for i in range(len(keep))]
+    classes = [f"_{c}" for c in CLASSES]
+    told = materialize(held.select(*names, "own", *MEASURES, *classes, F.size("words").alias("n_classes"), word.alias("word_distance")), "quality-measures")
+
+    sums = _with_total(told.groupBy("own").agg(*(F.sum(c).alias(c) for c in ("word_chars", *classes))), [], ["word_chars", *classes])
+    share = lambda x: F.when(F.col("word_chars") > 0, x / F.col("word_chars")).otherwise(F.lit(0.0))
+    chars = materialize(sums.select(F.col("own").alias("r"), F.transform(_class_counts(), share).alias("chars")), "quality-chars")
+    told = told.join(F.broadcast(chars), F.col("own").eqNullSafe(F.col("r")), "left").withColumn("_classes", _class_counts())
+    char = F.when(F.col("word_chars") >= MIN_JUDGED_CHARS, js_distance("_classes", F.col("word_chars"), F.col("chars")))
+    told = told.withColumn("char_distance", char)
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(int(100 * MAX_REPEATED)) * F.col("n_words"))
     near_chars = F.col("char_distance") <= tolerated(MAX_CHAR_DISTANCE, F.size("chars"), F.col("word_chars"))
-    near_words = F.col("word_distance") <= tolerated(MAX_WORD_DISTANCE, F.size("words"), F.col("n_words"))
-    near = F.coalesce(near_chars, F.lit(True)) & F.coalesce(near_words, F.lit(True))
-    return held.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near).select(*names, *told)
+    near_words = F.col("word_distance") <= tolerated(MAX_WORD_DISTANCE, F.col("n_classes"), F.col("n_words"))
+    kept = ~failed & F.coalesce(near_chars, F.lit(True)) & F.coalesce(near_words, F.lit(True))
+    return told.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), *MEASURES, "char_distance", "word_distance", failed.alias("base_failed"), kept.alias("kept"))

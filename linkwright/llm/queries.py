@@ -26,9 +26,7 @@ def op4_chunk_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judged(table(spark, sf_dir, "documents"))
-    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
-    return found.select("doc_id", *measures)
+    return quality.judged(table(spark, sf_dir, "documents"))
 
 
 def op6_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
