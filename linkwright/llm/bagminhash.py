@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, dealt, spread_labels
-from .common import materialize, maybe_in, release, salted_join, slices
+from .common import materialize, maybe_in, parts, release, salted_join, slices
 from .components import connected_components
 
 SHINGLE = 5
@@ -40,7 +40,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 21, 6
 M = BANDS * ROWS
 #: Words that are sketched at a time.
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 500_000
+#: Documents whose words are held at a time.
+CHUNK_DOCS = 512
 #: Documents, and about so many bytes of text, of a block in which all are compared.
 BLOCK, BLOCK_BYTES = 512, 16_000_000
 
@@ -118,8 +120,8 @@ def registers(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int
             register = ((two >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             seen = place < w
             np.minimum.at(found, (d * m + register)[seen], t[seen])
-            latest = found.reshape(n_docs, m).max(axis=1)
-            on = t < latest[d]
+            grid = found.reshape(n_docs, m)
+            on = t < (grid.max(axis=1)[d] if 2 * len(d) > n_docs else grid[d].max(axis=1))
             d, w, low, length, seed, t = d[on], w[on], low[on], length[on], seed[on], t[on]
     return found.reshape(n_docs, m)
 
@@ -162,7 +164,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         cache = WordHashes()
-        for batch in batches:
+        for batch in parts(batches, CHUNK_DOCS):
             names, counts, keys = sketch(batch.column(1).to_pylist(), cache)
             offsets = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
@@ -261,7 +263,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
     def run(batches):
         cache = WordHashes()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in parts(batches, CHUNK_DOCS):
                 found = [np.sort(shingle_hashes(word_hashes(t.split(), cache))) for t in batch.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)))

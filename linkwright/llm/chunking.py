@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_in, release, slices
+from .common import materialize, maybe_in, parts, release, slices
 
 WINDOW, REACH = 16, 24
 #: Words that a passage must have to be removed.
@@ -35,7 +35,8 @@ MIN_WORDS = 50
 RUN_WORDS = 10
 #: Bytes that a run is extended by at most, either way: far more than to the next cut.
 CONTEXT = 512
-CHUNK_BYTES = 2_000_000
+#: Bytes and documents that are cut at a time.
+CHUNK_BYTES, CHUNK_DOCS = 1_000_000, 1024
 _WORDS, _LENGTH = 1 << 12, 1 << 20  # a packed place: start, then length, then words
 
 
@@ -122,7 +123,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """digest, doc, place of every chunk. place packs start, length (of up to a MB) and words; see `_unpacked`."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, CHUNK_DOCS):
             ids = batch.column(0).to_numpy()
             doc, digest, start, length, words = chunk_texts(batch.column(1).to_pylist())
             place = (start * _LENGTH + np.minimum(length, _LENGTH - 1)) * _WORDS + np.minimum(words, _WORDS - 1)
@@ -256,7 +257,7 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text_at = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, CHUNK_DOCS):
             texts, lost, spans_ = [], [], []
             for text, found in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if not found or text is None:

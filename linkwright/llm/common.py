@@ -114,3 +114,10 @@ def maybe_in(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
     found = keyed.join(F.broadcast(bitmap), "_part", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
     return found.withColumn("maybe", F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1).drop("_h", "_part", "_at", "_bits", "_byte")
+
+
+def parts(batches, rows: int):
+    """Arrow batches in parts of so many rows, so that Python holds the objects of few rows at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)

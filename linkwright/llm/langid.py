@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, parts, slices
 
 #: Training texts per language, about.
 SAMPLE = 1500
@@ -35,7 +35,8 @@ AMBIGUOUS = 0.6
 #: Folds by crc32 of the doc_id; this one is never learned from.
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-CHUNK_BYTES = 4_000_000
+#: Bytes and documents that are looked at at a time.
+CHUNK_BYTES, CHUNK_DOCS = 1_000_000, 512
 
 
 def codewords(n: int, seed: int = 6) -> np.ndarray:
@@ -116,16 +117,16 @@ def _fold():
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(FOLDS))
 
 
-def _bytes():
-    return F.lower("text").cast("binary")
+def _lowered(texts: pa.Array) -> list[bytes]:
+    return [t.lower().encode() for t in texts.to_pylist()]
 
 
 def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """lang and lower-cased text of about `sample` labelled documents of each language, none of the held-out fold."""
+    """lang and text of about `sample` labelled documents of each language, none of the held-out fold."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (_fold() != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
     counts = materialize(known.groupBy("lang").count(), "lang-counts")
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) < F.lit(float(sample)) / F.col("count") * (1 << 30)
-    return materialize(known.join(F.broadcast(counts.where("count > 0")), "lang").where(share).select("lang", _bytes().alias("words")), "lang-sample")
+    return materialize(known.join(F.broadcast(counts.where("count > 0")), "lang").where(share).select("lang", "text"), "lang-sample")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -133,8 +134,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = training_sample(docs, sample)
 
     def count(batches):
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for batch in parts(batches, CHUNK_DOCS):
+            langs, texts = batch.column(0).to_pylist(), _lowered(batch.column(1))
             for lang in sorted(set(langs)):
                 total = np.zeros(BUCKETS, np.int64)
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -159,9 +160,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 weights[:, bit] += sign * np.log(rates[code[:, bit] == sign].mean(axis=0))
 
     def check(batches):
-        for batch in batches:
+        for batch in parts(batches, CHUNK_DOCS):
             langs = batch.column(0).to_pylist()
-            right = margins(batch.column(1).to_pylist(), weights) * code[[row[x] for x in langs]] > 0
+            right = margins(_lowered(batch.column(1)), weights) * code[[row[x] for x in langs]] > 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, right.size + 1, code.shape[1], dtype=np.int32)), pa.array(right.ravel().astype(np.float64)))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), lists], ["lang", "right"])
 
@@ -185,16 +186,16 @@ def identify(docs: DataFrame, model: Model | None = None, sample: int = SAMPLE)
     model = model or train(docs, sample)
     docs = docs.drop("lang_pred", "score", "ambiguous")
     names = [f.name for f in docs.schema.fields]
-    kept = docs.withColumn("_told", F.when(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"), _bytes()))
-    schema = docs.selectExpr(*(f"`{n}`" for n in names)).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    kept = docs.withColumn("_told", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            at = np.array([i for i, t in enumerate(texts) if t is not None], np.int64)
+        for batch in parts(batches, CHUNK_DOCS):
+            lang, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+            at = np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
             if len(at) and model.languages:
-                best, sure = model.predict([texts[i] for i in at])
+                texts = batch.column(names.index("text"))
+                best, sure = model.predict(_lowered(texts.take(pa.array(at))))
                 lang[at], score[at] = np.array(model.languages, object)[best], sure
             ambiguous = (lang != UNKNOWN) & (score < AMBIGUOUS)
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
