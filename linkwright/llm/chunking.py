@@ -176,6 +176,9 @@ def extend(text: bytes, at: int, size: int, left: bytes, right: bytes, begins: b
     space = b" \t\n\r\x0b\x0c"
     cut_left = text[low - 1] not in space if low else not begins
     cut_right = text[high] not in space if high < len(text) else not ends
+    before, after = at - low, high - at - size  # a word that goes on in the other text is not whole either
+    cut_left |= len(left) > before and left[len(left) - before - 1] not in space
+    cut_right |= len(right) > after and right[after] not in space
     if cut_left:
         while low < high and text[low] not in space:
             low += 1
@@ -239,7 +242,8 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     docs needs doc_id and text. Removed are passages of min_words or more that
     stand word for word in a document with a smaller doc_id; what repeats
-    within one document only is left alone. spans: from, to (bytes of the old
+    within one document only is left alone, and so is a stretch that does
+    nothing but repeat a few words, which has no cut of its own. spans: from, to (bytes of the old
     text) and first_doc. Null and empty texts stay as they are; rows with a
     null doc_id take no part. Rows that repeat a doc_id are one document. Columns named like the
     results are replaced; an empty table gives no rows.
