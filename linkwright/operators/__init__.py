@@ -1,0 +1 @@
+"""Record-linkage operators: DataFrame to DataFrame."""

@@ -1,0 +1 @@
+"""End-to-end runs and the registered queries."""
