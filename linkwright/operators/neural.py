@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 BUCKETS = 1 << 15
 WIDTH = 24
@@ -180,4 +181,4 @@ def score(matcher: Matcher, rows: DataFrame, column: str = "score") -> DataFrame
             pdf[column] = own.predict([pdf[f].tolist() for f in FIELDS], pdf[list(AUX)].to_numpy(np.float32))
             yield pdf
 
-    return rows.mapInPandas(run, rows.schema.add(column, "double"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(column, DoubleType())]))

@@ -430,7 +430,7 @@ def x_rare_token(spark, sf):
 @query
 def x_embedding_knn(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
-    return extra.vector_neighbours(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 10).select("left_id", "right_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+    return extra.vector_neighbours(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 10).select("left_id", "right_id", F.col("rank").cast("long").alias("rank"), "similarity")
 
 
 @query

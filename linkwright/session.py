@@ -11,17 +11,22 @@ from pyspark.sql import SparkSession
 
 _HOME = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: with long texts that many fill a worker.
+BATCH_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once per application.
+    """Prepare a session, once per application: smaller Arrow batches, and the package's sources for the executors.
 
-    Not needed, and skipped, where PYTHONPATH already leads workers to them.
+    Sources are not sent where PYTHONPATH already leads workers to them.
     """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     _shipped.add(app)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size, "10000") == "10000":
+        spark.conf.set(size, str(BATCH_ROWS))
     if str(_HOME.parent) in map(os.path.realpath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
         return
     with tempfile.TemporaryDirectory() as folder:
