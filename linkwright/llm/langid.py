@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import materialize, parts, slices
 
@@ -187,7 +188,7 @@ def identify(docs: DataFrame, model: Model | None = None, sample: int = SAMPLE)
     docs = docs.drop("lang_pred", "score", "ambiguous")
     names = [f.name for f in docs.schema.fields]
     kept = docs.withColumn("_told", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
 
     def run(batches):
         for batch in parts(batches, CHUNK_DOCS):

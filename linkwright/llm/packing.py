@@ -62,15 +62,18 @@ def encoder(vocabulary: str | None = None, ranks: str | None = None):
     from tokenizers import Tokenizer
 
     vocabulary, ranks = tokenizer_files(vocabulary, ranks)
-    exact = Tokenizer.from_file(vocabulary)
     with open(ranks, "rb") as lines:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
+    exact: list[Tokenizer] = []  # loaded when a text asks for it
+
     def encode(text: str) -> np.ndarray:
         if SPECIAL not in text:
             return fast.encode_to_numpy(text, disallowed_special=())
-        return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not exact:
+            exact.append(Tokenizer.from_file(vocabulary))
+        return np.array(exact[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
