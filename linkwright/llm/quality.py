@@ -125,11 +125,11 @@ def tolerated(limit: float, classes: Column, n: Column) -> Column:
     return F.sqrt(F.lit(limit * limit) + (classes - 1) / (n * F.lit(8 * math.log(2))))
 
 
-def common_counts(words: Column, common: Column) -> Column:
-    """How often each common word occurs, and last how many words are none of them."""
+def common_counts(words: Column, common: Column, longest: Column) -> Column:
+    """How often each common word occurs, and last how many words are none of them. longest: bytes of the longest common word."""
     n = F.size(words).cast("long")
     return let(
-        F.filter(F.transform(words, lambda w: F.array_position(common, w)), lambda i: i > 0),
+        F.filter(F.transform(F.filter(words, lambda w: F.octet_length(w) <= longest), lambda w: F.array_position(common, w)), lambda i: i > 0),
         lambda at: F.concat(F.transform(F.sequence(F.lit(1).cast("long"), F.size(common).cast("long")), lambda k: (F.size(at) - F.size(F.array_remove(at, k))).cast("long")), F.array(n - F.size(at))),
     )
 
@@ -147,7 +147,7 @@ def _with_total(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
 
 
 def word_references(docs: DataFrame) -> DataFrame:
-    """own (null: the whole corpus), common (words), words (their shares, and last that of all others)."""
+    """own (null: the whole corpus), common (words), words (their shares, and last that of all others), longest (bytes)."""
     words = docs.select("own", F.explode(F.split(F.coalesce("text", F.lit("")), SPACE)).alias("word")).where("word <> ''")
     tally = words.select("own", F.when(F.length("word") <= COMMON_LENGTH, F.col("word")).alias("word")).groupBy("own", "word").agg(F.count(F.lit(1)).alias("n"))
     tally = materialize(tally.withColumn("word", F.when(F.col("word").rlike(r"^\p{L}+$"), F.col("word"))), "quality-words")
@@ -159,7 +159,9 @@ def word_references(docs: DataFrame) -> DataFrame:
     both = total.join(top, F.col("own").eqNullSafe(F.col("o")), "left").withColumn("top", F.coalesce("top", F.array().cast("array<struct<rank:int,word:string,n:bigint>>")))
     shares = F.transform("top", lambda x: x["n"] / F.col("total"))
     rest = F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
-    return materialize(both.select("own", F.transform("top", lambda x: x["word"]).alias("common"), F.concat(shares, F.array(rest)).alias("words")), "quality-references")
+    longest = F.coalesce(F.array_max(F.transform("top", lambda x: F.octet_length(x["word"]))), F.lit(0))
+    found = both.select("own", F.transform("top", lambda x: x["word"]).alias("common"), F.concat(shares, F.array(rest)).alias("words"), longest.alias("longest"))
+    return materialize(found, "quality-references")
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -178,7 +180,7 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     known = docs.select(*carried, "text", "lang").join(F.broadcast(_languages(docs)), F.col("lang") == F.col("own"), "left")
     refs = word_references(known.select("own", "text")).withColumnRenamed("own", "r")
     held = with_measures(known).join(F.broadcast(refs), F.col("own").eqNullSafe(F.col("r")), "left")
-    held = held.withColumn("_counts", common_counts(F.col("_words"), F.col("common")))
+    held = held.withColumn("_counts", common_counts(F.col("_words"), F.col("common"), F.col("longest")))
     word = F.when(F.col("n_words") >= MIN_JUDGED_WORDS, js_distance("_counts", F.col("n_words"), F.col("words")))
     names = [f"keep_{i}" for i in range(len(keep))]
     classes = [f"_{c}" for c in CLASSES]
