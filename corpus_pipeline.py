@@ -33,10 +33,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     touched = materialize(groups.where("not kept or n > 1"), "near-touched")
     marked = maybe_in(docs, "doc_id", touched.select("doc_id"))
-    some = marked.where("maybe").select(*COLUMNS)
+    some = marked.where("_maybe").select(*COLUMNS)
     untouched = some.join(touched.select("doc_id"), "doc_id", "left_anti")
     repeated = some.join(touched.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return marked.where(~F.col("maybe")).select(*COLUMNS).unionByName(untouched).unionByName(repeated)
+    return marked.where(~F.col("_maybe")).select(*COLUMNS).unionByName(untouched).unionByName(repeated)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     docs = docs.select(*COLUMNS)
     mixed = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     mixed = materialize(mixed.withColumnRenamed("doc_id", "id"), "mix-chosen")
-    chosen = maybe_in(docs, "doc_id", mixed.select("id")).where("maybe").select(*COLUMNS)
+    chosen = maybe_in(docs, "doc_id", mixed.select("id")).where("_maybe").select(*COLUMNS)
     taken = chosen.join(mixed, F.col("doc_id").eqNullSafe(F.col("id")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 

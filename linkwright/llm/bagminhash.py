@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     ids = members.select("id").distinct()
     near = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("words"))
-    near = maybe_in(near, "id", ids).where("maybe").select("id", "words")
+    near = maybe_in(near, "id", ids).where("_maybe").select("id", "words")
     texts = materialize(near.join(ids, "id", "left_semi").dropDuplicates(["id"]), "bag-texts")
     pairs = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(verified(pairs, texts, similarity), "bag-links")

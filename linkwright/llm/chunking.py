@@ -197,7 +197,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int =
     found = materialize(runs(materialize(chunks(docs), "chunk-rows"), run_words), "chunk-runs")
     ids = found.select(F.explode(F.array("doc", "first_doc")).alias("id")).distinct()
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("bytes"))
-    texts = maybe_in(texts, "id", ids).where("maybe").select("id", "bytes")
+    texts = maybe_in(texts, "id", ids).where("_maybe").select("id", "bytes")
     texts = materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "chunk-texts")
     part = lambda low, size: F.substring(F.col("bytes"), (low + 1).cast("int"), size.cast("int"))
     before = lambda c: F.least(F.col(c), F.lit(CONTEXT))
@@ -255,8 +255,8 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     listed = materialize(listed, "chunk-lists")
     marked = maybe_in(docs, "doc_id", listed.select("doc"))
     kind = "array<struct<from:long,to:long,first_doc:long>>"
-    clean = marked.where(~F.col("maybe")).drop("maybe").withColumn("removed_words", F.lit(0).cast("long")).withColumn("spans", F.array().cast(kind))
-    near = marked.where("maybe").drop("maybe").join(listed, F.col("doc_id") == F.col("doc"), "left").drop("doc")
+    clean = marked.where(~F.col("_maybe")).drop("_maybe").withColumn("removed_words", F.lit(0).cast("long")).withColumn("spans", F.array().cast(kind))
+    near = marked.where("_maybe").drop("_maybe").join(listed.withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     schema = clean.schema
     text_at = names.index("text")
 

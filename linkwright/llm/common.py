@@ -100,7 +100,7 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, how: str
 
 
 def maybe_in(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-    """Add the column `maybe`: true for all rows whose id is among ids (one column), and for few others.
+    """Add the column `_maybe`: true for all rows whose id is among ids (one column), and for few others.
 
     A bitmap of FILTER_BITS is made of hashes of the ids by an aggregation on
     the executors, 4 KB per 32,768 hash values, and broadcast: 4 MB at most,
@@ -113,7 +113,7 @@ def maybe_in(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     keyed = rows.withColumn("_h", place(col)).withColumn("_part", F.bitmap_bucket_number("_h")).withColumn("_at", F.bitmap_bit_position("_h"))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
     found = keyed.join(F.broadcast(bitmap), "_part", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
-    return found.withColumn("maybe", F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1).drop("_h", "_part", "_at", "_bits", "_byte")
+    return found.withColumn("_maybe", F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1).drop("_h", "_part", "_at", "_bits", "_byte")
 
 
 def parts(batches, rows: int):

@@ -25,8 +25,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from .common import materialize, parts, slices
 
-#: Training texts per language, about.
-SAMPLE = 1500
+#: Training texts per language, about, and languages that are learned at most (those with most texts).
+SAMPLE, MAX_LANGUAGES = 1500, 256
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 16
 #: n-grams after which a text's evidence no longer grows, and what one of them counts.
@@ -124,10 +124,10 @@ def _lowered(texts: pa.Array) -> list[bytes]:
 
 def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """lang and text of about `sample` labelled documents of each language, none of the held-out fold."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (_fold() != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
-    counts = materialize(known.groupBy("lang").count(), "lang-counts")
+    known = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (_fold() != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) < F.lit(float(sample)) / F.col("count") * (1 << 30)
-    return materialize(known.join(F.broadcast(counts.where("count > 0")), "lang").where(share).select("lang", "text"), "lang-sample")
+    return materialize(known.join(F.broadcast(materialize(counts, "lang-counts")), "lang").where(share).select("lang", "text"), "lang-sample")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:

@@ -90,8 +90,11 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     stop = data.find(b"\r\n\r\n", at, at + 65_536)
     if stop < 0:
         raise Damaged("header without end")
+    version, *lines = data[at:stop].split(b"\r\n")
+    if not re.fullmatch(rb"WARC/\d+\.\d+", version):
+        raise Damaged("no version line")
     fields = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
+    for line in lines:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
@@ -186,8 +189,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     again = revisits(pages, min_bytes)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     marked = maybe_in(rows, "page_id", again.select("id"))
-    plain = marked.where(~F.col("maybe")).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    some = marked.where("maybe").withColumn("own", F.unhex(F.sha1("payload")))
+    plain = marked.where(~F.col("_maybe")).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    some = marked.where("_maybe").withColumn("own", F.unhex(F.sha1("payload")))
     some = some.join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha")), "left").select("page_id", "url", "payload", "refers_to")
 
     def run(batches):

@@ -228,7 +228,8 @@ def test_planted_passages(spark):
     docs = {i: [word() for _ in range(rng.randint(0, 300))] + (passage if i % 3 == 0 else passage[:35] if i % 3 == 1 else []) + [word() for _ in range(rng.randint(0, 300))] for i in range(60)}
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
     for r in chunking.dedup_passages(df).collect():
-        assert r["removed_words"] == (55 if r["doc_id"] % 3 == 0 and r["doc_id"] else 0)
+        planted = r["doc_id"] % 3 == 0 and r["doc_id"] > 0
+        assert 55 <= r["removed_words"] <= 57 if planted else r["removed_words"] == 0  # a neighbour may be equal by chance
 
 
 def test_passage_edges(spark):
