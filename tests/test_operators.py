@@ -186,7 +186,7 @@ def test_metrics(spark):
 
 def test_sweeps_follow_single_reports(spark):
     rng = np.random.default_rng(1)
-    df = spark.createDataFrame([(f"S{i % 7}", f"{i}", float(rng.random().round(3))) for i in range(60)], SCORED)
+    df = spark.createDataFrame([(f"S{i % 7}", f"{i}", round(float(rng.random()), 3)) for i in range(60)], SCORED)
     true = df.where("score > 0.55 or other_id in ('3', '8')").select("source1_entity_id", "other_id")
     ids = spark.createDataFrame([(f"S{i}",) for i in range(9)], "id string")
     for r in metrics.threshold_sweep(df, true, ids, [0.2, 0.5, 0.8]).collect():
