@@ -7,8 +7,8 @@ way, so that cuts depend on nothing but the bytes near them: an insertion moves
 the chunks behind it but does not change them, and a repeated passage is cut
 alike wherever it stands. Chunks are deduplicated by digest.
 
-A chunk that an earlier document (one with a smaller doc_id) has as well is a
-seed. Seeds that continue each other in both documents form a run; a run with
+A chunk, or a sequence of chunks of some length, that an earlier document (one
+with a smaller doc_id) has as well is a seed. Seeds that continue each other in both documents form a run; a run with
 enough words to belong to a passage of MIN_WORDS is extended byte by byte in
 both directions, and the words that the two texts then share are removed from
 the later document if there are MIN_WORDS of them. The first document that has
@@ -33,6 +33,8 @@ MIN_WORDS = 50
 #: Words in whole chunks that a run must have to be looked at. Whole chunks of a passage leave out at most about
 #: WINDOW + 2 REACH bytes at its start and 2 REACH at its end, 20 words, and seldom as much.
 RUN_WORDS = 10
+#: Words of the sequences of chunks whose first document is looked for, besides that of single chunks.
+GRAM_WORDS = (32, 50)
 #: Bytes that a run is extended by at most, either way: far more than to the next cut.
 CONTEXT = 512
 #: Bytes and documents that are cut at a time.
@@ -139,22 +141,85 @@ def _unpacked(place) -> tuple:
     return F.shiftright(rest, 20), F.pmod(rest, F.lit(_LENGTH)), words
 
 
-def runs(chunked: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """Runs of chunks that an earlier document has in the same order: doc, start, size, first_doc, first_start."""
-    ends = chunked.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-    common = materialize(ends.where("first_doc < last_doc").select("digest", "first_doc"), "chunk-common")
-    rows = materialize(chunked.join(common, "digest"), "chunk-repeats")
-    origin = materialize(rows.where("doc = first_doc").groupBy("digest").agg(F.min("place").alias("origin")), "chunk-origins")
+def _shared(rows: DataFrame, name: str) -> DataFrame:
+    """The rows (key, doc, place) of keys that more than one document has, with the first_doc that has the key."""
+    ends = rows.groupBy("key").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
+    common = materialize(ends.where("first_doc < last_doc").select("key", "first_doc"), f"{name}-common")
+    found = materialize(rows.join(common, "key"), f"{name}-repeats")
     release(common)
+    return found
+
+
+def _seeds(shared: DataFrame, name: str) -> DataFrame:
+    """doc, first_doc, start, length, words, first_start: where a later document has what first_doc has."""
+    origin = materialize(shared.where("doc = first_doc").groupBy("key").agg(F.min("place").alias("origin")), f"{name}-origins")
     start, length, words = _unpacked(F.col("place"))
-    seeds = rows.where("doc > first_doc").join(origin, "digest")
-    seeds = seeds.select("doc", "first_doc", start.alias("start"), length.alias("length"), words.alias("words"), _unpacked(F.col("origin"))[0].alias("first_start"))
-    seeds = seeds.withColumn("shift", F.col("start") - F.col("first_start"))
-    line = Window.partitionBy("doc", "first_doc", "shift").orderBy("start")
-    seeds = seeds.withColumn("breaks", (F.coalesce(F.lag(F.col("start") + F.col("length")).over(line), F.lit(-1)) != F.col("start")).cast("int"))
-    seeds = seeds.withColumn("run", F.sum("breaks").over(line))
-    grouped = seeds.groupBy("doc", "first_doc", "shift", "run").agg(F.min("start").alias("start"), F.sum("length").alias("size"), F.sum("words").alias("words"))
-    return grouped.where(F.col("words") >= run_words).select("doc", "start", "size", "first_doc", (F.col("start") - F.col("shift")).alias("first_start"))
+    found = shared.where("doc > first_doc").join(origin, "key")
+    return found.select("doc", "first_doc", start.alias("start"), length.alias("length"), words.alias("words"), _unpacked(F.col("origin"))[0].alias("first_start"))
+
+
+def grams(repeats: DataFrame) -> DataFrame:
+    """key, doc, place of sequences of repeated chunks that follow each other.
+
+    From each chunk on, the shortest sequence with so many words as each of
+    GRAM_WORDS; what follows a chunk decides where it ends, so it is the same
+    wherever the passage stands.
+    """
+
+    def run(batches):
+        import xxhash
+
+        held = [np.zeros(0, np.int64)] * 3  # rows of the document that the last batch ended in
+        for batch in batches:
+            doc, place, digest = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
+            cut = int(np.searchsorted(doc, doc[-1])) if len(doc) else 0
+            held = [doc[cut:], place[cut:], digest[cut:]]
+            yield _grams(doc[:cut], place[:cut], digest[:cut], xxhash)
+        yield _grams(*held, xxhash)
+
+    rows = repeats.select("doc", "place", F.col("key").alias("digest")).repartition("doc").sortWithinPartitions("doc", "place")
+    return rows.mapInArrow(run, "key long, doc long, place long")
+
+
+def _grams(doc: np.ndarray, place: np.ndarray, digest: np.ndarray, xxhash) -> pa.RecordBatch:
+    start, length, words = place >> 32, (place >> 12) % _LENGTH, place % _WORDS
+    n = len(doc)
+    follows = np.zeros(n, bool)
+    follows[1:] = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + length[:-1])
+    run = np.cumsum(~follows)
+    upto = np.concatenate(([0], np.cumsum(words)))
+    keys, at, ends = [], [], []
+    for limit in GRAM_WORDS:
+        end = np.searchsorted(upto, upto[:-1] + limit)  # chunks i to end[i] - 1 have `limit` words or more
+        fits = np.flatnonzero((end <= n) & (end > np.arange(n) + 1))
+        fits = fits[run[fits] == run[end[fits] - 1]]
+        view = memoryview(np.ascontiguousarray(digest)).cast("B")
+        keys.append(np.fromiter((xxhash.xxh3_64_intdigest(view[8 * i : 8 * j], seed=limit) for i, j in zip(fits.tolist(), end[fits].tolist(), strict=True)), np.uint64, len(fits)).view(np.int64))
+        at.append(fits)
+        ends.append(end[fits])
+    at, ends = np.concatenate(at), np.concatenate(ends)
+    size = start[ends - 1] + length[ends - 1] - start[at] if len(at) else at
+    packed = (start[at] * _LENGTH + np.minimum(size, _LENGTH - 1)) * _WORDS + np.minimum(upto[ends] - upto[at], _WORDS - 1)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(doc[at]), pa.array(packed)], ["key", "doc", "place"])
+
+
+def runs(chunked: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """Runs of chunks that an earlier document has in the same order: doc, start, size, first_doc, first_start.
+
+    The first document that has a chunk need not have its neighbours; so the
+    first document of sequences of chunks is looked for as well.
+    """
+    one = _shared(chunked.withColumnRenamed("digest", "key"), "chunk")
+    more = _shared(grams(one.select("doc", "place", "key")), "gram")
+    seeds = _seeds(one, "chunk").withColumn("single", F.col("words")).unionByName(_seeds(more, "gram").withColumn("single", F.lit(0).cast("long")))
+    seeds = seeds.withColumn("shift", F.col("start") - F.col("first_start")).withColumn("end", F.col("start") + F.col("length"))
+    line = Window.partitionBy("doc", "first_doc", "shift").orderBy("start", "end")
+    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    seeds = seeds.withColumn("breaks", (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int"))
+    seeds = seeds.withColumn("run", F.sum("breaks").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = seeds.groupBy("doc", "first_doc", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.greatest(F.sum("single"), F.max("words")).alias("words"))
+    found = grouped.where(F.col("words") >= run_words)
+    return found.select("doc", "start", (F.col("end") - F.col("start")).alias("size"), "first_doc", (F.col("start") - F.col("shift")).alias("first_start"))
 
 
 def extend(text: bytes, at: int, size: int, left: bytes, right: bytes, begins: bool = True, ends: bool = True) -> tuple[int, int, int]:
