@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, similarity, text
+from ..session import materialize
 
 TOP_K = 10
 MAX_BUCKET = 1500
@@ -46,6 +47,11 @@ def prepared(records: DataFrame, exact_accents: bool = False) -> DataFrame:
     return fields.withColumn("keys", F.array(*keys)).drop("_addr_text", "_name_text")
 
 
+def prepared_reference(source2: DataFrame, source3: DataFrame) -> DataFrame:
+    """Both reference sources, prepared, as a table: bucket sizes, marks and the join read it without normalising again."""
+    return materialize(prepared(tagged(source2, source3)), "reference")
+
+
 def usable(key: Column) -> Column:
     """Keys without a last part match almost everything (B-7)."""
     return (key != "") & ~key.endswith("|")
@@ -123,7 +129,7 @@ def best_candidates(scored: DataFrame, top_k: int = TOP_K) -> DataFrame:
 
 def generate_candidates(source1: DataFrame, source2: DataFrame, source3: DataFrame, top_k: int = TOP_K, max_bucket: int = MAX_BUCKET, floor: float = SCORE_FLOOR) -> DataFrame:
     """source1_entity_id, other_id, source, name_cosine_sim of the candidates (B-16)."""
-    pairs = bucket_pairs(prepared(source1), prepared(tagged(source2, source3)), max_bucket)
+    pairs = bucket_pairs(prepared(source1), prepared_reference(source2, source3), max_bucket)
     return best_candidates(scored_pairs(pairs, floor), top_k)
 
 

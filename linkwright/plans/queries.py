@@ -41,7 +41,7 @@ def everyone(spark: SparkSession, sf: str) -> DataFrame:
 
 def prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     s1, s2, s3 = fixtures.sources(spark, sf)
-    return blocking.prepared(s1), blocking.prepared(blocking.tagged(s2, s3))
+    return blocking.prepared(s1), blocking.prepared_reference(s2, s3)
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:

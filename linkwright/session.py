@@ -1,13 +1,16 @@
-"""What a session needs to run the library's Python functions on executors."""
+"""What a session needs: the library's sources on executors, and tables in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _HOME = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -35,3 +38,39 @@ def ship(spark: SparkSession) -> None:
             for f in sorted(_HOME.rglob("*.py")):
                 z.write(f, f.relative_to(_HOME.parent))
         spark.sparkContext.addPyFile(archive)
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    It is set here only for a local master that names none (tests); a cluster
+    without the setting is an error, because a machine-local folder would not
+    be seen by other executors.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="linkwright-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under <spark.checkpoint.dir>/linkwright/<application id>/.
+
+    The folder of an application may be removed as soon as it has ended.
+    """
+    return f"{scratch_root(spark)}/linkwright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back.
+
+    This cuts the lineage; unlike a cached block the files outlive executors.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
