@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize, scratch_path, scratch_root  # noqa: F401
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that separate words.
@@ -22,42 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    It is set here only for a local master that names none (tests); a cluster
-    without the setting is an error, because a machine-local folder would not
-    be seen by other executors.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="linkwright-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under <spark.checkpoint.dir>/linkwright/<application id>/.
-
-    The folder of an application may be removed as soon as it has ended.
-    """
-    return f"{scratch_root(spark)}/linkwright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    This cuts the lineage; unlike a cached block the files outlive executors.
-    """
-    spark, schema = df.sparkSession, df.schema
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def release(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     spark = df.sparkSession
@@ -67,15 +28,6 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def text_key(col: str) -> list:
-    """128 bits that stand for a text, as two longs; cheap to shuffle and compare."""
-    digest = F.md5(F.col(col))
-    return [
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"),
-        F.conv(F.substring(digest, 16, 15), 16, 10).cast("long"),
-    ]
-
-
 def slices(sizes, limit: int):
     """Cut a run of items into (from, to) pieces whose sizes sum to about limit."""
     start, total = 0, 0
