@@ -17,7 +17,7 @@ def char_grams(name: Column, low: int = 2, high: int = 4) -> Column:
     return F.concat(*(one(n) for n in range(low, high + 1)))
 
 
-def tfidf_neighbours(source1: DataFrame, reference: DataFrame, k: int = 15, floor: float = 0.2, max_df: int = 2000) -> DataFrame:
+def tfidf_neighbours(source1: DataFrame, reference: DataFrame, k: int = 15, floor: float = 0.2, max_df: int = 300) -> DataFrame:
     """The k most similar reference names per record and source within an area, by TF-IDF cosine of 2- to 4-grams (X-1).
 
     source1 and reference are prepared records. The join is over an inverted

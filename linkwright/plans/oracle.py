@@ -231,7 +231,7 @@ _add("d_threshold", _cols + "accepted")
 _add("d_one_to_one_threshold", _single("accepted"))
 _add("d_expected_f05", _cols + f"({_expected('scored', '0.3::double')})")
 _add("d_one_to_one_expected_f05", _cols + f"({_expected('single', '0.3::double')})", single=_single("scored"))
-_add("d_policy_state", "select source1_entity_id, other_id, rank, " + ", ".join(f"round({c}, 6) as {c}" for c in decide.STATE) + " from states")
+_add("d_policy_state", "select source1_entity_id, other_id, rank, " + ", ".join(f"round({c}, 9) as {c}" for c in decide.STATE) + " from states")
 _add("d_policy_greedy", f"select source1_entity_id, other_id, score from (select *, bool_and({_policy()} >= 0 and rank <= {decide.MAX_STEPS}) over (partition by source1_entity_id order by rank) as go from states) where go")
 
 _each = f"select *, {_F05} as f05 from ({{}})"
@@ -287,7 +287,7 @@ _add(
     totals="select area, count(*) as total from prepared where source <> 'S1' group by all",
     weights="select source, entity_id, area, gram, coalesce(df, 0) as df, tf * (ln((1 + coalesce(total, 0)) / (1 + coalesce(df, 0))::double) + 1) as w from tf left join df using (area, gram) left join totals using (area)",
     unit="select *, w / sqrt(sum(w * w) over (partition by source, entity_id)) as u from weights",
-    sums="select a.entity_id as source1_entity_id, b.entity_id as other_id, b.source, round(sum(a.u * b.u), 6) as similarity from unit a join unit b on a.area = b.area and a.gram = b.gram and a.source = 'S1' and b.source <> 'S1' and a.df between 1 and 2000 and b.df between 1 and 2000 group by all",
+    sums="select a.entity_id as source1_entity_id, b.entity_id as other_id, b.source, round(sum(a.u * b.u), 6) as similarity from unit a join unit b on a.area = b.area and a.gram = b.gram and a.source = 'S1' and b.source <> 'S1' and a.df between 1 and 300 and b.df between 1 and 300 group by all",
 )
 _add(
     "x_rare_token",
@@ -318,7 +318,7 @@ select source1_entity_id, other_id, source, score from (select *, count(*) over
 where score >= case when n <= 1 and source = 'S2' then 0.4 when n between 2 and 3 and source = 'S2' then 0.5 when n between 4 and 10 and source = 'S3' then 0.7 when n > 10 and source = 'S3' then 0.8 else 0.6 end""")
 _add("x_pruner", "select source1_entity_id, other_id, source, score from (select *, row_number() over (partition by source1_entity_id order by score desc, other_id) as rank from scored where score >= 0.3) where rank <= 5")
 _add("x_uncertain_band", "select * from scored where score >= 0.05 and score < 0.9")
-_add("x_blend", "select source1_entity_id, other_id, round((score * 3.0::double + round(score * score, 6) * 1.0::double) / 4.0::double, 6) as score from scored")
+_add("x_blend", "select source1_entity_id, other_id, round((score * 3.0::double + round(score * score, 6) * 1.0::double) / 4.0::double, 9) as score from scored")
 _add("x_abbreviations", f"""
 select short, long, count(*) as n from (select case when length(a) <= length(b) then a else b end as short, case when length(a) <= length(b) then b else a end as long from (
   select unnest({_split('x.n_text')}) as a, unnest({_split('y.n_text')}) as b from truth t join cleaned x on x.entity_id = t.source1_entity_id join cleaned y on y.entity_id = t.other_id

@@ -294,7 +294,7 @@ def d_one_to_one_expected_f05(spark, sf):
 @query
 def d_policy_state(spark, sf):
     rows = decide.policy_states(scored(spark, sf))
-    return rows.select("source1_entity_id", "other_id", F.col("rank").cast("long").alias("rank"), *(F.round(c, 6).alias(c) for c in decide.STATE))
+    return rows.select("source1_entity_id", "other_id", F.col("rank").cast("long").alias("rank"), *(F.round(c, 9).alias(c) for c in decide.STATE))
 
 
 @query
@@ -474,7 +474,7 @@ def x_uncertain_band(spark, sf):
 @query
 def x_blend(spark, sf):
     rows = scored(spark, sf).withColumn("other_score", F.round(F.col("score") * F.col("score"), 6))
-    return extra.blended(rows, ["score", "other_score"], [3.0, 1.0]).select("source1_entity_id", "other_id", F.round("score", 6).alias("score"))
+    return extra.blended(rows, ["score", "other_score"], [3.0, 1.0]).select("source1_entity_id", "other_id", F.round("score", 9).alias("score"))
 
 
 @query
