@@ -231,7 +231,7 @@ _add("d_threshold", _cols + "accepted")
 _add("d_one_to_one_threshold", _single("accepted"))
 _add("d_expected_f05", _cols + f"({_expected('scored', '0.3::double')})")
 _add("d_one_to_one_expected_f05", _cols + f"({_expected('single', '0.3::double')})", single=_single("scored"))
-_add("d_policy_state", "select source1_entity_id, other_id, rank, " + ", ".join(f"round({c}, 9) as {c}" for c in decide.STATE) + " from states")
+_add("d_policy_state", "select source1_entity_id, other_id, rank, " + ", ".join(f"round({c}, 12) as {c}" for c in decide.STATE) + " from states")
 _add("d_policy_greedy", f"select source1_entity_id, other_id, score from (select *, bool_and({_policy()} >= 0 and rank <= {decide.MAX_STEPS}) over (partition by source1_entity_id order by rank) as go from states) where go")
 
 _each = f"select *, {_F05} as f05 from ({{}})"

@@ -294,7 +294,7 @@ def d_one_to_one_expected_f05(spark, sf):
 @query
 def d_policy_state(spark, sf):
     rows = decide.policy_states(scored(spark, sf))
-    return rows.select("source1_entity_id", "other_id", F.col("rank").cast("long").alias("rank"), *(F.round(c, 9).alias(c) for c in decide.STATE))
+    return rows.select("source1_entity_id", "other_id", F.col("rank").cast("long").alias("rank"), *(F.round(c, 12).alias(c) for c in decide.STATE))
 
 
 @query
