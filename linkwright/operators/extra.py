@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from ..functions import text
 
 # Words of French addresses, short to long.
 FRENCH_WORDS = {"r": "rue", "ch": "chemin", "q": "quai"}
+#: Records of a block of queries and of references in the TF-IDF pass, and grams that are multiplied at a time.
+LEFT_BLOCK, RIGHT_BLOCK, GRAM_SLICE = 1024, 2048, 1024
 
 
 def char_grams(name: Column, low: int = 2, high: int = 4) -> Column:
@@ -17,13 +22,55 @@ def char_grams(name: Column, low: int = 2, high: int = 4) -> Column:
     return F.concat(*(one(n) for n in range(low, high + 1)))
 
 
-def tfidf_neighbours(source1: DataFrame, reference: DataFrame, k: int = 15, floor: float = 0.2, max_df: int = 300) -> DataFrame:
+def _n_blocks(records: DataFrame, size: int) -> DataFrame:
+    """area and n, the blocks of about size records that it is dealt into."""
+    return records.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
+
+
+def _blocks(unit: DataFrame, counts: DataFrame, side: str, other: str, other_counts: DataFrame) -> DataFrame:
+    """area, `side` and `other` (numbers of blocks) and the block's rows (source, entity_id, grams with weights).
+
+    Every block is there once for each block of the other side, so that an
+    area's pairs of blocks spread over tasks.
+    """
+    one = unit.groupBy("area", "source", "entity_id").agg(F.collect_list(F.struct("gram", "w")).alias("grams"))
+    one = one.join(counts, "area").withColumn(side, F.pmod(F.xxhash64("source", "entity_id"), F.col("n")).cast("int"))
+    block = one.groupBy("area", side).agg(F.collect_list(F.struct("source", "entity_id", "grams")).alias(f"{side}_rows"))
+    return block.join(other_counts, "area").withColumn(other, F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+
+
+def _dots(left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
+    """Dot products of the gram weights of all rows of one block with all of another."""
+    sides, words = [], []
+    for rows in (left, right):
+        held = rows.field("grams")
+        flat = held.flatten()
+        words.append(flat.field("gram"))
+        sides.append((len(rows), np.repeat(np.arange(len(rows)), pc.list_value_length(held).to_numpy()), flat.field("w").to_numpy()))
+    codes = pa.concat_arrays(words).dictionary_encode().indices.to_numpy()
+    codes = codes[: len(words[0])], codes[len(words[0]) :]
+    common = np.intersect1d(*codes)
+    out = np.zeros((len(left), len(right)))
+    for a in range(0, len(common), GRAM_SLICE):
+        some, dense = common[a : a + GRAM_SLICE], []
+        for (n, row, w), code in zip(sides, codes, strict=True):
+            at = np.minimum(np.searchsorted(some, code), len(some) - 1)
+            has = some[at] == code
+            table = np.zeros((n, len(some)))
+            table[row[has], at[has]] = w[has]
+            dense.append(table)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def tfidf_neighbours(source1: DataFrame, reference: DataFrame, k: int = 15, floor: float = 0.2) -> DataFrame:
     """The k most similar reference names per record and source within an area, by TF-IDF cosine of 2- to 4-grams (X-1).
 
-    source1 and reference are prepared records. The join is over an inverted
-    index of grams; a gram that more than max_df reference records of an area
-    have says little and makes long lists, so it counts in norms but not as a
-    meeting point, which bounds every list.
+    source1 and reference are prepared records. All grams count, however
+    frequent. Nearly all names of an area share some gram, so an inverted index
+    would emit a row for each pair and gram; instead blocks of records meet
+    pairwise, each pair of blocks as products of matrices, and only what may be
+    among a block's k best comes out.
     """
     rows = source1.select(F.lit("S1").alias("source"), "entity_id", "area", "name").unionByName(reference.select("source", "entity_id", "area", "name"))
     grams = rows.select("source", "entity_id", "area", F.explode(char_grams(F.col("name"))).alias("gram"))
@@ -33,12 +80,30 @@ def tfidf_neighbours(source1: DataFrame, reference: DataFrame, k: int = 15, floo
     weights = tf.join(df, ["area", "gram"], "left").join(total, "area", "left").fillna(0, subset=["df", "total"])
     weights = weights.withColumn("w", F.col("tf") * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1))
     norms = weights.groupBy("source", "entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weights.join(norms, ["source", "entity_id"]).withColumn("w", F.col("w") / F.col("norm")).where((F.col("df") > 0) & (F.col("df") <= max_df))
-    left = unit.where("source = 'S1'").select("area", "gram", F.col("entity_id").alias("source1_entity_id"), F.col("w").alias("wl"))
-    right = unit.where("source <> 'S1'").select("area", "gram", F.col("entity_id").alias("other_id"), "source", F.col("w").alias("wr"))
-    sums = left.join(right, ["area", "gram"]).groupBy("source1_entity_id", "other_id", "source").agg(F.round(F.sum(F.col("wl") * F.col("wr")), 6).alias("similarity"))
+    unit = weights.join(norms, ["source", "entity_id"]).withColumn("w", F.col("w") / F.col("norm")).where(F.col("df") > 0)
+    lefts, rights = _n_blocks(source1, LEFT_BLOCK), _n_blocks(reference, RIGHT_BLOCK)
+    left = _blocks(unit.where("source = 'S1'"), lefts, "left", "right", rights)
+    right = _blocks(unit.where("source <> 'S1'"), rights, "right", "left", lefts)
+    met = left.join(right, ["area", "left", "right"]).select("left_rows", "right_rows")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ones, others = (batch.column(c)[i].values for c in range(2))
+                dots, source = _dots(ones, others), others.field("source").to_numpy(zero_copy_only=False)
+                for name in np.unique(source):
+                    at = np.flatnonzero(source == name)
+                    part = dots[:, at]
+                    # ties after rounding to 6 digits are settled by id later, so all of them come out
+                    least = np.partition(part, -k, axis=1)[:, -k] - 2e-6 if len(at) > k else np.full(len(part), -np.inf)
+                    one, other = np.nonzero(part >= np.maximum(least, floor - 1e-6)[:, None])
+                    ids = ones.field("entity_id").take(pa.array(one)), others.field("entity_id").take(pa.array(at[other]))
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array([name] * len(one), pa.string()), pa.array(part[one, other])], ["source1_entity_id", "other_id", "source", "similarity"])
+
+    found = met.mapInArrow(run, "source1_entity_id string, other_id string, source string, similarity double")
+    found = found.withColumn("similarity", F.round("similarity", 6))
     rank = F.row_number().over(Window.partitionBy("source1_entity_id", "source").orderBy(F.desc("similarity"), "other_id"))
-    return sums.where(F.col("similarity") >= floor).withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.where(F.col("similarity") >= floor).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def rare_token_pairs(source1: DataFrame, reference: DataFrame, min_length: int = 4, max_df: int = 20) -> DataFrame:
