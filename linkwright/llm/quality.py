@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, materialize
 
-#: Character classes by pattern; what is left of a text's characters are other letters and rare symbols.
+#: Character classes by pattern; what is left of a text's characters are other letters and marks.
 CLASSES = {
     "upper": r"\p{Lu}",
     "digit": r"\p{Nd}",
     "stop": r"[.,;:?'\"()\-]",
-    "symbol": r"[!#$%&*+/<=>@\[\\\]^_`{|}~]",
+    "symbol": r"[^\p{L}\p{M}\p{Nd}\x20\x09-\x0D.,;:?'\"()\-]",
 }
 SYMBOLS = r"[#*$%&|<>]"
 #: Common words of a language that make up its histogram, and how long they are at most.
@@ -40,7 +40,7 @@ MIN_WORDS = 50
 #: A repeated 3-word window covers at most this share of the words.
 MAX_REPEATED = 0.5
 #: Characters and words under which a histogram is not judged.
-MIN_JUDGED_CHARS, MIN_JUDGED_WORDS = 200, 160
+MIN_JUDGED_CHARS, MIN_JUDGED_WORDS = 200, 120
 #: Largest distances of a document that is kept, beyond the distance that chance alone gives (see `tolerated`).
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.2
 
