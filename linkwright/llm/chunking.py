@@ -14,8 +14,17 @@ both directions, and the words that the two texts then share are removed from
 the later document if there are MIN_WORDS of them. The first document that has
 a passage keeps it.
 
-Numbers only are shuffled (a digest, a doc_id and a packed place per chunk);
-of texts, only those of documents with runs move.
+Runs find most passages with few numbers, but not all: a passage of short words
+may hold no whole chunk, and the first document that has a chunk need not have
+the passage. So a second pass settles the windows of MIN_WORDS words that no run
+covers. Its sieve is the smallest hash of the short word sequences in a window:
+equal windows have equal ones, and few differ within a text. Only windows whose
+smallest hash several documents have are compared, each by its own hash with
+the first document that has it.
+
+Numbers only are shuffled (a digest, a doc_id and a packed place per chunk, a
+hash per stretch of words, and those of the windows left); of texts, only those
+of documents with runs or repeated hashes move.
 """
 
 from __future__ import annotations
@@ -30,8 +39,7 @@ from .common import materialize, maybe_in, parts, release, slices
 WINDOW, REACH = 16, 24
 #: Words that a passage must have to be removed.
 MIN_WORDS = 50
-#: Words in whole chunks that a run must have to be looked at. Whole chunks of a passage leave out at most about
-#: WINDOW + 2 REACH bytes at its start and 2 REACH at its end, 20 words, and seldom as much.
+#: Words in whole chunks that a run must have to be looked at; passages with fewer are left to the pass over windows.
 RUN_WORDS = 10
 #: Words of the sequences of chunks whose first document is looked for, besides that of single chunks.
 GRAM_WORDS = (32, 50)
@@ -257,9 +265,119 @@ def extend(text: bytes, at: int, size: int, left: bytes, right: bytes, begins: b
     return low, high, len(text[low:high].split())
 
 
+#: Multipliers of the prefix hashes of bytes and of words: odd, so that they have inverses.
+BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _summed(values: np.ndarray, low: np.ndarray, high: np.ndarray, base: int) -> np.ndarray:
+    """sum of values[low + i] * base**i up to high, modulo 2**64: equal for equal stretches wherever they stand."""
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _powers(base, len(values)), dtype=np.uint64)))
+    return (upto[high] - upto[low]) * _powers(pow(base, -1, 1 << 64), len(values) + 1)[low]
+
+
+def word_windows(texts: list[bytes], n: int) -> tuple[np.ndarray, ...]:
+    """Per window of n words: the text's number, the number of its first word, from, to (bytes), its sieve and its hash.
+
+    Which white space separates the words does not matter. The sieve is the
+    smallest hash of the sequences of n // 3 words in the window.
+    """
+    from .bagminhash import mix
+
+    symbols = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BYTE_BASE))
+    out = []
+    for a, b in slices([len(t) + 1 for t in texts], CHUNK_BYTES):
+        data = np.frombuffer(b"".join(x for t in texts[a:b] for x in (t, b" ")), np.uint8)
+        begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[a:b]])))[:-1]
+        word = ~_is_space(data)
+        low = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])))
+        high = np.flatnonzero(word[:-1] & ~word[1:]) + 1  # a space ends every text
+        last = len(low) - n + 1
+        if last <= 0:
+            continue
+        doc = np.searchsorted(begins, low, "right") - 1
+        words = mix(_summed(symbols[data], low, high, BYTE_BASE) + (high - low).astype(np.uint64))
+        at = np.arange(len(low))
+        short = max(1, n // 3)
+        some = mix(_summed(words, at[: len(at) - short + 1], at[: len(at) - short + 1] + short, WORD_BASE))
+        sieve = _windowed_min(some, n - short + 1)[:last]
+        whole = mix(_summed(words, at[:last], at[:last] + n, WORD_BASE))
+        ok = np.flatnonzero(doc[:last] == doc[n - 1 :])
+        first = np.searchsorted(low, begins)  # the first word of each text
+        out.append((doc[ok] + a, ok - first[doc[ok]], low[ok] - begins[doc[ok]], high[ok + n - 1] - begins[doc[ok]], sieve[ok].view(np.int64), whole[ok].view(np.int64)))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True))
+
+
+def _uncovered(low: np.ndarray, high: np.ndarray, spans: list[dict]) -> np.ndarray:
+    """Which of the windows lie in none of the spans (from, to) as a whole."""
+    spans = sorted((x["from"], x["to"]) for x in spans)
+    start, end = (np.array(c) for c in zip(*spans, strict=True))
+    at = np.searchsorted(start, low, "right") - 1
+    return (at < 0) | (np.maximum.accumulate(end)[np.maximum(at, 0)] < high)
+
+
+def window_spans(docs: DataFrame, spans: DataFrame, min_words: int) -> DataFrame:
+    """doc, from, to, words, first_doc of all windows of min_words words that an earlier document has, besides those in spans.
+
+    A window in a span has an earlier document, so that it is first in none and
+    can be left out on both sides.
+    """
+
+    def sieves(batches):
+        for batch in parts(batches, CHUNK_DOCS):
+            ids = batch.column(0).to_numpy()
+            doc, _, _, _, sieve, _ = word_windows(batch.column(1).to_pylist(), min_words)
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (sieve[1:] != sieve[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(sieve[new]), pa.array(ids[doc[new]] if len(doc) else doc)], ["key", "doc"])
+
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("bytes"))
+    keys = materialize(texts.mapInArrow(sieves, "key long, doc long"), "sieve-rows")
+    shared = _shared(keys, "sieve")
+    release(keys)
+    listed = shared.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    told = spans.groupBy("doc").agg(F.collect_list(F.struct("from", "to")).alias("spans")).withColumnRenamed("doc", "d")
+    listed = materialize(listed.join(told, F.col("doc") == F.col("d"), "left").drop("d"), "sieve-lists")
+    release(shared)
+    some = maybe_in(texts, "id", listed.select("doc")).where("_maybe").select("id", "bytes").join(listed, F.col("id") == F.col("doc"))
+    some = some.dropDuplicates(["id"]).select("id", "bytes", "keys", "spans")
+
+    def windows(batches):
+        for batch in parts(batches, CHUNK_DOCS):
+            ids = batch.column(0).to_numpy()
+            doc, word, low, high, sieve, whole = word_windows(batch.column(1).to_pylist(), min_words)
+            use = np.isin(sieve, batch.column(2).flatten().to_numpy())
+            ends = np.searchsorted(doc, np.arange(len(ids) + 1))
+            for i, found in enumerate(batch.column(3).to_pylist()):
+                if found:
+                    part = slice(ends[i], ends[i + 1])
+                    use[part] &= _uncovered(low[part], high[part], found)
+            cols = whole[use], ids[doc[use]] if len(doc) else doc, word[use], low[use], high[use]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "doc", "word", "from", "to"])
+
+    rows = materialize(some.mapInArrow(windows, "key long, doc long, word long, from long, to long"), "window-rows")
+    again = _shared(rows, "window").where("doc > first_doc")
+    line = Window.partitionBy("doc", "first_doc").orderBy("word")
+    again = again.withColumn("breaks", F.coalesce(F.col("word") - F.lag("word").over(line) > min_words, F.lit(True)).cast("int"))
+    again = again.withColumn("run", F.sum("breaks").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    found = again.groupBy("doc", "first_doc", "run").agg(F.min("from").alias("from"), F.max("to").alias("to"), (F.max("word") - F.min("word") + min_words).alias("words"))
+    found = materialize(found.select("doc", "from", "to", "words", "first_doc"), "window-spans")
+    release(rows)
+    return found
+
+
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """doc, from, to (bytes), words, first_doc of passages that an earlier document has, word for word."""
-    found = materialize(runs(materialize(chunks(docs), "chunk-rows"), run_words), "chunk-runs")
+    chunked = materialize(chunks(docs), "chunk-rows")
+    found = materialize(runs(chunked, run_words), "chunk-runs")
+    release(chunked)
     ids = found.select(F.explode(F.array("doc", "first_doc")).alias("id")).distinct()
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("bytes"))
     texts = maybe_in(texts, "id", ids).where("_maybe").select("id", "bytes")
@@ -281,7 +399,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int =
             cols = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["doc", "from", "to", "words", "first_doc"])
 
-    return both.mapInArrow(run, "doc long, from long, to long, words long, first_doc long").distinct()
+    spans = both.mapInArrow(run, "doc long, from long, to long, words long, first_doc long").distinct()
+    spans = materialize(spans, "chunk-run-spans")
+    return spans.unionByName(window_spans(docs, spans, min_words))
 
 
 def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -307,8 +427,7 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     docs needs doc_id and text. Removed are passages of min_words or more that
     stand word for word in a document with a smaller doc_id; what repeats
-    within one document only is left alone, and so is a stretch that does
-    nothing but repeat a few words, which has no cut of its own. spans: from, to (bytes of the old
+    within one document only is left alone. spans: from, to (bytes of the old
     text) and first_doc. Null and empty texts stay as they are; rows with a
     null doc_id take no part. Rows that repeat a doc_id are one document. Columns named like the
     results are replaced; an empty table gives no rows.

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from linkwright.llm import quality
+from linkwright.llm import chunking, quality
 
 
 def test_symbols_beyond_ascii_are_symbols(spark):
@@ -20,3 +20,21 @@ def test_symbols_beyond_ascii_are_symbols(spark):
     assert not found[100]["base_failed"] and not found[100]["kept"]
     assert found[101]["word_distance"] is not None and not found[101]["base_failed"] and not found[101]["kept"]
     assert found[102]["word_distance"] is not None and found[102]["kept"]
+
+
+def test_every_window_of_fifty_words(spark):
+    """Passages of short words, of numbers and of few words, and one whose chunks an earlier document has without it."""
+    rng = random.Random(6)
+    kinds = [lambda: rng.choice("abcdefghijklmnopqrstuvwxyz"), lambda: str(rng.randint(0, 99)), lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 3))), lambda: rng.choice(["no", "yes"])]
+    own = lambda n: ["".join(rng.choice("qrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(n)]
+    given, want = {}, {}
+    for t in range(80):
+        passage = [kinds[t % 4]() for _ in range(50)]
+        for k in range(2):
+            given[2 * t + k], want[2 * t + k] = own(60) + passage + own(60), 50 * k
+    for t in range(40):
+        passage, i = own(50), 1000 + 3 * t
+        given[i], given[i + 1], given[i + 2] = passage[5:45] + own(40), own(40) + passage + own(40), own(70) + passage + own(40)
+        want |= {i: 0, i + 1: 0, i + 2: 50}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in given.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["removed_words"] for r in chunking.dedup_passages(df).collect()} == want
