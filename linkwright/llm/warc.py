@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialize, maybe_in, salted_join, scratch_path
 
 VERSION = b"WARC/1.1"
+VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of at least so many bytes are written as revisits if they repeat.
@@ -85,16 +86,15 @@ class Damaged(ValueError):
 
 def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record at `at` of uncompressed bytes: fields (names in lower case), block, end. Raises Damaged."""
-    if data[at : at + 5] != b"WARC/":
+    version = VERSION_LINE.match(data, at)
+    if not version:
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + 65_536)
-    if stop < 0:
+    # a header is as long as its fields are; the next version line or the end of the data bounds it
+    stop = data.find(b"\r\n\r\n", at)
+    if stop < 0 or data.find(b"\r\nWARC/", at, stop) >= 0:
         raise Damaged("header without end")
-    version, *lines = data[at:stop].split(b"\r\n")
-    if not re.fullmatch(rb"WARC/\d+\.\d+", version):
-        raise Damaged("no version line")
     fields = {}
-    for line in lines:
+    for line in data[version.end() : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")

@@ -1,10 +1,11 @@
 """Training-data operators do the whole job: nothing is left out because it is short, long, rare or odd."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from linkwright.llm import chunking, quality
+from linkwright.llm import chunking, quality, warc
 
 
 def test_symbols_beyond_ascii_are_symbols(spark):
@@ -38,3 +39,19 @@ def test_every_window_of_fifty_words(spark):
         want |= {i: 0, i + 1: 0, i + 2: 50}
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in given.items()], "doc_id long, text string")
     assert {r["doc_id"]: r["removed_words"] for r in chunking.dedup_passages(df).collect()} == want
+
+
+def test_header_of_any_length(spark):
+    """A page with a url of 100 KB comes back, and so does the revisit that refers to it."""
+    given = [(1, "http://x/" + "a" * 100_000, "long"), (2, "http://x/", "long"), (3, "http://y/" + " é" * 50_000, "other")]
+    pages = spark.createDataFrame(given, "page_id long, url string, html string")
+    found = {r["page_id"]: (r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert found == {1: ("response", 4, None), 2: ("revisit", 4, 1), 3: ("response", 5, None)}
+
+
+def test_header_ends_before_the_next_version_line():
+    """A header that is cut off does not swallow the record behind it."""
+    body = b"x" * 100
+    good = warc.record(2, "u", body, hashlib.sha1(body).digest(), len(body), None, False)
+    found = list(warc.salvage(b"WARC/1.1\r\nWARC-Type: response\r\n" + good))
+    assert [x.reason for x in found] == ["header without end", ""] and found[1].block.endswith(body)
