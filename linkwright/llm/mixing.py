@@ -6,7 +6,9 @@ the rest is the documents' inclusion probability p in a further sample.
 Documents rank by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p))
 with u from a hash of the row, and are taken in that order until the source's
 remaining words are used up. So the sample's size is fixed (to a document's
-words) while inclusion is random with unequal probabilities.
+words) while inclusion is random. p is one number per source and ranks are within
+a source, so the order is that of u alone: each source's sample is a simple
+random order with equal probabilities, which differ between sources only.
 
 Taking a prefix of a ranked source needs no sort of it: ranks fall into BINS
 classes, sums per class tell which are taken whole, and only the one class in
