@@ -51,6 +51,25 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, how: str
     return salted.join(copies, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_copy")), how).drop("_key", "_copy", "_salt")
 
 
+#: Equal rows that one row of `numbered` is unfolded into within its task.
+UNFOLD = 1 << 16
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, equal ones numbered from 0 by `_nth`, as a written table is read.
+
+    What a rerun finds again without an order of the input: equal rows are
+    counted (pre-aggregated, so a row that a third of the table repeats is one
+    row per task) and unfolded again, those with more than UNFOLD copies by
+    several tasks.
+    """
+    counted = materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")), name)
+    few = counted.where(F.col("_n") <= UNFOLD).withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    many = counted.where(F.col("_n") > UNFOLD).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(UNFOLD).cast("long"))))
+    many = many.repartition(*rows.columns, "_from").withColumn("_nth", F.explode(F.sequence("_from", F.least(F.col("_from") + UNFOLD, F.col("_n")) - 1)))
+    return few.unionByName(many.drop("_from")).drop("_n")
+
+
 def maybe_in(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """Add the column `_maybe`: true for all rows whose id is among ids (one column), and for few others.
 

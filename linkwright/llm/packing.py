@@ -8,8 +8,8 @@ bins are open, the fullest closes first.
 
 Spark's part: one pass over the texts makes ids and pieces (the texts and ids
 never move), and only five numbers per piece are shuffled to packing groups of
-about GROUP_DOCS documents each, by a hash of the whole row, so that no
-document, source or copy can make a group hot. A group's task streams its
+about GROUP_DOCS documents each, by a hash of the whole row and its number
+among equal rows, so that no document, source or copy can make a group hot. A group's task streams its
 pieces: its memory is the open bins and a buffer of LOOKAHEAD arrivals.
 """
 
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 MAX_TOKENS = 2048
 #: Open sequences a packer holds.
 OPEN_BINS = 4096
@@ -53,7 +55,8 @@ def encoder(vocabulary: str | None = None, ranks: str | None = None):
 
     Ids are those of the `tokenizers` vocabulary file. The ranks file holds
     the same merges for a faster library, which a test holds against the first
-    for every code point; texts with a special token's string go to the first.
+    for every code point; texts with a special token's string go to the first,
+    and so do those whose runs of white space exceed the faster one's stack.
     """
     import base64
 
@@ -70,7 +73,10 @@ def encoder(vocabulary: str | None = None, ranks: str | None = None):
 
     def encode(text: str) -> np.ndarray:
         if SPECIAL not in text:
-            return fast.encode_to_numpy(text, disallowed_special=())
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # a run of some 100,000 white spaces or more
+                pass
         if not exact:
             exact.append(Tokenizer.from_file(vocabulary))
         return np.array(exact[0].encode(text, add_special_tokens=False).ids, np.uint32)
@@ -158,16 +164,16 @@ def _grouped(rows):
 def pack_pieces(pieces: DataFrame, n_docs: int, limit: int = MAX_TOKENS, open_bins: int = OPEN_BINS, lookahead: int = LOOKAHEAD, group_docs: int = GROUP_DOCS) -> DataFrame:
     """Add sequence_id and offset. A group's sequences are numbered from group * 2**40."""
     groups = max(1, -(-n_docs // group_docs))
-    mix = F.xxhash64("doc_id", "piece", "ids_crc32", "length")
-    keyed = pieces.select(F.pmod(mix, F.lit(groups)).alias("grp"), "doc_id", "piece", "start", "length", "ids_crc32")
-    order = [F.xxhash64("ids_crc32", "doc_id", "piece", "length"), "doc_id", "piece", "length", "ids_crc32"]
+    mix = F.xxhash64("doc_id", "piece", "ids_crc32", "length", "_nth")
+    keyed = numbered(pieces, "pack-pieces").select(F.pmod(mix, F.lit(groups)).alias("grp"), "doc_id", "piece", "start", "length", "ids_crc32", "_nth")
+    order = [F.xxhash64("ids_crc32", "doc_id", "piece", "length", "_nth"), "doc_id", "piece", "length", "ids_crc32", "_nth"]
 
     def packed(batches):
         for group, rows in _grouped(_streamed(batches)):
             packer, rows = Packer(limit, open_bins), iter(rows)
             while waiting := list(islice(rows, lookahead)):
                 waiting.sort(key=lambda r: -r[4])  # stable: ties stay in order of arrival
-                out = [(*r[1:], *packer.place(r[4])) for r in waiting]
+                out = [(*r[1:6], *packer.place(r[4])) for r in waiting]
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -185,6 +191,6 @@ def pack_documents(docs: DataFrame, limit: int = MAX_TOKENS, end_id: int = 0, op
     A null or empty text is the end id alone. A document longer than `limit` is
     cut into pieces of `limit`, the first of which may be shorter. Repeated rows
     are packed as often as they occur; a null doc_id stays null. An empty table
-    gives no rows. Texts are taken whole at any length.
+    gives no rows. Texts are taken whole at any length, whatever they are made of.
     """
     return pack_pieces(to_pieces(docs, limit, end_id, vocabulary, ranks), docs.count(), limit, open_bins, LOOKAHEAD, group_docs)
