@@ -9,9 +9,12 @@ and one more shard takes rows only into itself.
 
 Balance needs only one number per arc (n_shards * vnodes of them, a bound
 known beforehand): `flow` deals the arcs' rows out to shards as runs of ranks,
-and each row finds its run by its rank within its arc. An arc is a range of
-the hash of the whole row, so neither equal texts nor a frequent doc_id can
-make one hot; only a few numbers per row are shuffled, once.
+and each row finds its run by its rank within its arc. Under `rows` an arc is
+a range of the hash of the whole row and its number among equal rows, so no
+repeated row, text or doc_id can make one hot. Under `key` a frequent doc_id
+does fill one arc, as the law asks; so rows are ranked in SLICES parts of an
+arc, whose sizes are summed up, and no task holds an arc. Only a few numbers
+per row are shuffled.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 
 N_SHARDS = 16
 #: Ring points of a shard.
 VNODES = 128
+#: Parts of an arc that are ranked apart.
+SLICES = 16
 RING = 1 << 32
 
 
@@ -92,8 +97,8 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, law: str = "rows"
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law,
     shard, slot and grown_shard. Under `rows` loads are bounded and the place
-    of a row comes from doc_id and the text's checksum; under `key` from doc_id
-    alone, and grown_shard is the shard with one more. A null text counts as
+    of a row comes from doc_id, the text's checksum and the row's number among
+    equal ones; under `key` from doc_id alone, and grown_shard is the shard with one more. A null text counts as
     empty, a null doc_id is a key like any other. Repeated rows are rows of
     their own, interchangeable among themselves. Other columns are ignored;
     an empty table gives no rows.
@@ -113,16 +118,22 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, law: str = "rows"
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    key = F.xxhash64("doc_id") if law == "key" else F.xxhash64("doc_id", "text_crc32")
-    rows = materialize(rows.withColumn("place", F.pmod(key, F.lit(RING))).withColumn("arc", arc("place")), "shard-keys")
+    rows = numbered(rows, "shard-rows")
+    key = F.xxhash64("doc_id") if law == "key" else F.xxhash64("doc_id", "text_crc32", "_nth")
+    part = F.pmod(F.xxhash64(F.lit("slice"), "doc_id", "text_crc32", "_nth"), F.lit(SLICES)).cast("int")
+    rows = materialize(rows.withColumn("place", F.pmod(key, F.lit(RING))).withColumn("arc", arc("place")).withColumn("slice", part), "shard-keys")
 
+    parts = materialize(rows.groupBy("arc", "slice").count(), "shard-parts")  # len(points) * SLICES rows at most
     counts = [0] * len(points)
-    for r in rows.groupBy("arc").count().collect():  # len(points) rows at most
-        counts[r["arc"]] = r["count"]
+    for r in parts.groupBy("arc").agg(F.sum("count").alias("n")).collect():
+        counts[r["arc"]] = r["n"]
     total = sum(counts)
     runs = flow(counts, owners, shares(total, n_shards) if law == "rows" else [total] * n_shards)
     plan = [(arc_, lo, hi, shard, slot, grown[arc_] if law == "key" else None) for arc_, own in enumerate(runs) for lo, hi, shard, slot in own]
     plan = spark.createDataFrame(plan, "arc int, lo long, hi long, shard int, first long, grown_shard int")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("place", "doc_id", "text_crc32", "size")) - F.lit(1))
+    before = F.sum("count").over(Window.partitionBy("arc").orderBy("slice")) - F.col("count")
+    parts = parts.select("arc", "slice", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("arc", "slice").orderBy("place", "doc_id", "text_crc32", "size", "_nth"))
+    ranked = rows.withColumn("own", own).join(F.broadcast(parts), ["arc", "slice"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     joined = ranked.join(F.broadcast(plan), ["arc"]).where("rank >= lo and rank < hi")
     return joined.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("first") + F.col("rank") - F.col("lo")).alias("slot"), "grown_shard")
