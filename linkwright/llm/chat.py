@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, maybe_in
 
 TURN = "<|{role}|>\n{text}\n"
 UNKNOWN_ROLE = "unknown"
@@ -29,11 +29,24 @@ def _content(seed: int):
     return F.xxhash64(F.lit(seed), null("role"), "role", null("text"), "text")
 
 
+def _tied(rows: DataFrame) -> DataFrame:
+    """key of the conversations in which different turns have the same number."""
+    same = rows.groupBy("key", "conv_id", "turn").agg(*(f(c).alias(f"{c}_{f.__name__}") for c in ("c1", "c2") for f in (F.min, F.max)))
+    return same.where("c1_min <> c1_max or c2_min <> c2_max").select("key").distinct()
+
+
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, n (position from 1), h1, h2 of the turns up to it, last."""
-    rows = turns.where("conv_id is not null").select("conv_id", "turn", _content(1).alias("c1"), _content(2).alias("c2"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "c1", "c2")
-    rows = rows.select("conv_id", "turn", "c1", "c2", F.row_number().over(order).alias("n"), F.lead(F.lit(1)).over(order).isNull().alias("last"))
+    """conv_id, n (position from 1), h1, h2 of the turns up to it, last.
+
+    Turns of one number are ordered by role and text, for which only the texts
+    of conversations with such turns are shuffled (and of few others, which a
+    bitmap lets pass): elsewhere what ties is equal.
+    """
+    told = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text", F.xxhash64("conv_id").alias("key"), _content(1).alias("c1"), _content(2).alias("c2"))
+    tied = materialize(_tied(told.drop("role", "text")), "chat-tied")
+    rows = maybe_in(told, "key", tied).select("conv_id", "turn", "c1", "c2", *(F.when(F.col("_maybe"), F.col(c)).alias(c) for c in ("role", "text")))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last(), "c1", "c2")
+    rows = rows.select("conv_id", "turn", "role", "text", "c1", "c2", F.row_number().over(order).alias("n"), F.lead(F.lit(1)).over(order).isNull().alias("last"))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(
         "conv_id",
@@ -56,17 +69,19 @@ def format_conversations(turns: DataFrame, turn: str = TURN) -> DataFrame:
     """conv_id, n_turns, n_copies and the rendered text of every maximal conversation.
 
     turns needs conv_id, turn, role and text. Turns are ordered by `turn`
-    (nulls first) and, where that ties, by a hash of role and text, so that repeated rows are
-    repeated turns. A null role is rendered as `unknown`, a null text as empty;
+    (nulls first) and, where that ties, by role and text (nulls last), so that
+    repeated rows are repeated turns. A null role is rendered as `unknown`, a null text as empty;
     in comparisons both differ from any value. Rows without a conv_id are left
     out. Texts are rendered whole. Other columns are ignored; an empty table
     gives no rows.
     """
     kept = materialize(maximal_conversations(turns), "chat-maximal")
     before, between, after = (turn.partition("{role}")[0], *turn.partition("{role}")[2].partition("{text}")[::2])
-    said = turns.where("conv_id is not null").select("conv_id", F.struct(F.col("turn"), _content(1).alias("c1"), _content(2).alias("c2"), F.concat(F.lit(before), F.coalesce("role", F.lit(UNKNOWN_ROLE)), F.lit(between), F.coalesce("text", F.lit("")), F.lit(after)).alias("told")).alias("x"))
+    null = lambda c: F.col(c).isNull().alias(f"no_{c}")
+    said = turns.where("conv_id is not null").select("conv_id", F.struct("turn", null("role"), "role", null("text"), "text").alias("x"))
     texts = said.join(kept.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    texts = texts.select("conv_id", F.array_join(F.transform("x", lambda x: x["told"]), "").alias("text"))
+    told = lambda x: F.concat(F.lit(before), F.coalesce(x["role"], F.lit(UNKNOWN_ROLE)), F.lit(between), F.coalesce(x["text"], F.lit("")), F.lit(after))
+    texts = texts.select("conv_id", F.array_join(F.transform("x", told), "").alias("text"))
     return kept.join(texts, "conv_id").select("conv_id", "n_turns", "n_copies", "text")
 
 
