@@ -5,7 +5,8 @@ adds a number that a table gives for the byte; here the last WINDOW bytes
 count). A chunk ends where the hash is the smallest within REACH bytes either
 way, so that cuts depend on nothing but the bytes near them: an insertion moves
 the chunks behind it but does not change them, and a repeated passage is cut
-alike wherever it stands. Chunks are deduplicated by digest.
+alike wherever it stands. Where nothing is smallest for long (a monotonous
+stretch), a chunk ends after MAX_CHUNK bytes. Chunks are deduplicated by digest.
 
 A chunk, or a sequence of chunks of some length, that an earlier document (one
 with a smaller doc_id) has as well is a seed. Seeds that continue each other in both documents form a run; a run with
@@ -43,11 +44,14 @@ MIN_WORDS = 50
 RUN_WORDS = 10
 #: Words of the sequences of chunks whose first document is looked for, besides that of single chunks.
 GRAM_WORDS = (32, 50)
-#: Bytes that a run is extended by at most, either way: far more than to the next cut.
+#: Bytes that a run is extended by at most, either way: far more than to the next cut. What a run then still
+#: leaves of a passage (in a chunk longer than this) is left to the pass over windows.
 CONTEXT = 512
+#: Bytes of a chunk at most.
+MAX_CHUNK = (1 << 16) - 1
 #: Bytes and documents that are cut at a time.
 CHUNK_BYTES, CHUNK_DOCS = 1_000_000, 1024
-_WORDS, _LENGTH = 1 << 12, 1 << 20  # a packed place: start, then length, then words
+_WORDS, _LENGTH = 1 << 16, 1 << 16  # a packed place: start (31 bits, as strings have 2 GB at most), length, words
 
 
 def gear_table() -> np.ndarray:
@@ -100,6 +104,13 @@ def _is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
+def _starts(ends: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the start of the chunks that end at `ends`; begins: where the texts begin."""
+    doc = np.searchsorted(begins, ends - 1, "right") - 1
+    first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(ends) else np.zeros(0, bool)
+    return doc, np.where(first, begins[doc], np.concatenate(([0], ends[:-1])) if len(ends) else ends)
+
+
 def chunk_texts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Per chunk: the text's number, its digest, start, length, and the words that begin in it."""
     import xxhash
@@ -118,9 +129,11 @@ def chunk_texts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         space = _is_space(data) | ~inside
         words = np.concatenate(([0], np.cumsum(~space & np.concatenate(([True], space[:-1])))))
         ends = np.union1d(cuts(data, inside) + 1, (begins + sizes)[sizes > 0])
-        doc = np.searchsorted(begins, ends - 1, "right") - 1
-        first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(ends) else np.zeros(0, bool)
-        starts = np.where(first, begins[doc], np.concatenate(([0], ends[:-1])) if len(ends) else ends)
+        doc, starts = _starts(ends, begins)
+        if (far := np.flatnonzero(ends - starts > MAX_CHUNK)).size:
+            more = [np.arange(starts[i] + MAX_CHUNK, ends[i], MAX_CHUNK) for i in far]
+            ends = np.union1d(ends, np.concatenate(more))
+            doc, starts = _starts(ends, begins)
         view = memoryview(buffer)
         digests = np.fromiter((xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends))
         out.append((doc + a, digests.view(np.int64), starts - begins[doc], ends - starts, words[ends] - words[starts]))
@@ -130,13 +143,13 @@ def chunk_texts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """digest, doc, place of every chunk. place packs start, length (of up to a MB) and words; see `_unpacked`."""
+    """digest, doc, place of every chunk. place packs start, length and words; see `_unpacked`."""
 
     def run(batches):
         for batch in parts(batches, CHUNK_DOCS):
             ids = batch.column(0).to_numpy()
             doc, digest, start, length, words = chunk_texts(batch.column(1).to_pylist())
-            place = (start * _LENGTH + np.minimum(length, _LENGTH - 1)) * _WORDS + np.minimum(words, _WORDS - 1)
+            place = (start * _LENGTH + length) * _WORDS + words
             yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(ids[doc] if len(doc) else doc), pa.array(place)], ["digest", "doc", "place"])
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
@@ -145,8 +158,8 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def _unpacked(place) -> tuple:
     words = F.pmod(place, F.lit(_WORDS))
-    rest = F.shiftright(place, 12)
-    return F.shiftright(rest, 20), F.pmod(rest, F.lit(_LENGTH)), words
+    rest = F.shiftright(place, 16)
+    return F.shiftright(rest, 16), F.pmod(rest, F.lit(_LENGTH)), words
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
@@ -171,7 +184,8 @@ def grams(repeats: DataFrame) -> DataFrame:
 
     From each chunk on, the shortest sequence with so many words as each of
     GRAM_WORDS; what follows a chunk decides where it ends, so it is the same
-    wherever the passage stands.
+    wherever the passage stands. Of a sequence longer than a place can tell,
+    its beginning is told.
     """
 
     def run(batches):
@@ -190,7 +204,7 @@ def grams(repeats: DataFrame) -> DataFrame:
 
 
 def _grams(doc: np.ndarray, place: np.ndarray, digest: np.ndarray, xxhash) -> pa.RecordBatch:
-    start, length, words = place >> 32, (place >> 12) % _LENGTH, place % _WORDS
+    start, length, words = place >> 32, (place >> 16) % _LENGTH, place % _WORDS
     n = len(doc)
     follows = np.zeros(n, bool)
     follows[1:] = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + length[:-1])
@@ -422,6 +436,20 @@ def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple
     return b"".join(kept), [tuple(m) for m in merged]
 
 
+def _one_text(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows that have their doc_id's text, and those that have another one, if any (see `dedup_passages`)."""
+    name = F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("length"))
+    named = docs.where("doc_id is not null and text is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min(name).alias("_first"), F.max(name).alias("_last"))
+    several = materialize(named.where("_first <> _last").select("_id", "_first"), "chunk-several")
+    if several.isEmpty():
+        return docs, None
+    marked = maybe_in(docs, "doc_id", several.select("_id"))
+    some = marked.where("_maybe").drop("_maybe").join(several, F.col("doc_id") == F.col("_id"), "left")
+    other = F.coalesce(name != F.col("_first"), F.lit(False)) & F.col("text").isNotNull()
+    own = some.where(~other).drop("_id", "_first")
+    return marked.where(~F.col("_maybe")).drop("_maybe").unionByName(own), some.where(other).drop("_id", "_first")
+
+
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs, the text without repeated passages, and removed_words and spans.
 
@@ -429,17 +457,22 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     stand word for word in a document with a smaller doc_id; what repeats
     within one document only is left alone. spans: from, to (bytes of the old
     text) and first_doc. Null and empty texts stay as they are; rows with a
-    null doc_id take no part. Rows that repeat a doc_id are one document. Columns named like the
+    null doc_id take no part. Rows that repeat a doc_id are one document; if
+    their texts differ, its text is that with the smallest hash, and rows with
+    another one take no part and stay as they are. Columns named like the
     results are replaced; an empty table gives no rows.
     """
     docs = docs.drop("removed_words", "spans")
     names = docs.columns
+    docs, others = _one_text(docs)
     spans = materialize(repeated_spans(docs, min_words), "chunk-spans")
     listed = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from", "to", "first_doc"))).alias("_found"))
     listed = materialize(listed, "chunk-lists")
     marked = maybe_in(docs, "doc_id", listed.select("doc"))
     kind = "array<struct<from:long,to:long,first_doc:long>>"
-    clean = marked.where(~F.col("_maybe")).drop("_maybe").withColumn("removed_words", F.lit(0).cast("long")).withColumn("spans", F.array().cast(kind))
+    clean = marked.where(~F.col("_maybe")).drop("_maybe")
+    clean = clean.unionByName(others) if others else clean
+    clean = clean.withColumn("removed_words", F.lit(0).cast("long")).withColumn("spans", F.array().cast(kind))
     near = marked.where("_maybe").drop("_maybe").join(listed.withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     schema = clean.schema
     text_at = names.index("text")
