@@ -210,9 +210,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     docs needs doc_id and text. A document without words (null, empty, white
     space) links with nothing. Fewer than five words are one shingle. Rows with
-    the same doc_id are one document; rows with a null doc_id link with nothing
-    and are kept, class_id null. Repeated rows all come back. Other columns are
-    ignored; an empty table gives no rows.
+    the same doc_id are one document, near to whatever one of its texts is near
+    to, if they differ; rows with a null doc_id link with nothing and are kept,
+    class_id null. Repeated rows all come back. Other columns are ignored; an
+    empty table gives no rows.
     """
     sig = materialize(sketches(docs), "bag-sketches")
     named = sig.where("words_key is not null and doc_id is not null")
@@ -228,9 +229,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     ids = members.select("id").distinct()
     near = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("words"))
     near = maybe_in(near, "id", ids).where("_maybe").select("id", "words")
-    texts = materialize(near.join(ids, "id", "left_semi").dropDuplicates(["id"]), "bag-texts")
+    # an id's texts, each once: rows that repeat an id have as a rule the same one
+    texts = materialize(near.join(ids, "id", "left_semi").groupBy("id", F.xxhash64("words").alias("hash"), F.length("words").alias("bytes")).agg(F.any_value("words").alias("words")).drop("hash", "bytes"), "bag-texts")
     pairs = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(verified(pairs, texts, similarity), "bag-links")
+    links = verified(pairs, texts, similarity).select("a", "b")
+    # the classes of an id that has texts of several
+    several = named.groupBy("doc_id").agg(F.min("words_key").alias("x"), F.max("words_key").alias("y")).where("x <> y").select("doc_id")
+    held = named.join(materialize(several, "bag-several"), "doc_id", "left_semi").select("doc_id", "words_key").distinct()
+    links = materialize(links.union(held.join(classes, "words_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))).distinct(), "bag-links")
 
     groups = materialize(connected_components(links), "bag-groups")
     rest = _unsettled(members, groups)
@@ -240,7 +246,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         meets = block_pairs(rest.select("key", "id"), sizes, F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)))
         full = dealt(meets.join(_shingled(texts.join(rest.select("id").distinct(), "id")), "id").select("key", "lo", "hi", "block", "id", "shingles"))
         stars = full.mapInArrow(_verifier(similarity), "a long, b long").distinct()
-        links = materialize(links.select("a", "b").union(stars), "bag-links")
+        links = materialize(links.union(stars), "bag-links")
         groups = materialize(connected_components(links), "bag-groups")
 
     group = classes.join(groups, classes["rep"] == groups["id"], "left").select("words_key", F.coalesce("component", "rep").alias("class_id"))
