@@ -33,12 +33,11 @@ from .components import connected_components
 THRESHOLD = 0.95
 #: Pivots that describe a vector, and pivots that two vectors must share.
 NEAREST, SHARED = 8, 2
-#: The same beyond MANY vectors, where pairs of pivots would make long lists.
-NEAREST_MANY, SHARED_MANY, MANY = 10, 3, 2_000_000
 #: Most pivots, and most vectors that are looked at to find them.
 MAX_PIVOTS, SAMPLE = 4096, 16_384
-#: Pivots are less alike than this: a dense cluster must not hold many of them.
-PIVOT_COSINE = 0.7
+#: Pivots are less alike than the first of these, so that no dense cluster holds many of them; where that leaves
+#: too few, because all vectors point much the same way, the next bar fills them up.
+PIVOT_COSINES = (0.7, 0.8, 0.9, 0.95, 0.98, 2.0)
 BLOCK = 1024
 
 
@@ -47,16 +46,18 @@ def n_pivots(n_vectors: int) -> int:
 
 
 def choose_pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
-    """Up to `wanted` rows of unit vectors, each of a cosine under PIVOT_COSINE to those before it; repeats fill up."""
-    open_ = np.ones(len(sample), bool)
+    """Up to `wanted` rows of unit vectors, each less alike to those before it than the lowest bar that gives so many."""
     chosen: list[int] = []
-    for i in range(len(sample)):
-        if open_[i]:
-            chosen.append(i)
+    nearest = np.full(len(sample), -2.0)  # cosine of each vector with the pivot most alike to it
+    for bar in PIVOT_COSINES:
+        for i in range(len(sample)):
             if len(chosen) == wanted:
                 break
-            open_ &= sample @ sample[i] < PIVOT_COSINE
-    return sample[chosen]
+            if nearest[i] < bar:
+                chosen.append(i)
+                nearest = np.maximum(nearest, sample @ sample[i])
+                nearest[i] = 2.0
+    return sample[sorted(chosen)]
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +83,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _classed(vectors: DataFrame, dim: int) -> DataFrame:
-    """vec_id, embedding and a 128-bit name of the vector, null for one that links with nothing."""
+    """vec_id, a 128-bit name of the vector (null for one that links with nothing) and the vector."""
 
     def run(batches):
         import xxhash
@@ -90,9 +91,9 @@ def _classed(vectors: DataFrame, dim: int) -> DataFrame:
         for batch in batches:
             x, good = _matrix(batch.column(1), dim)
             names = [xxhash.xxh3_128_digest(r.tobytes()) if g else None for r, g in zip(x, good, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary())], ["vec_id", "name"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), batch.column(1)], ["vec_id", "name", "embedding"])
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, name binary")
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, name binary, embedding array<double>")
 
 
 def _described(reps: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
@@ -168,19 +169,23 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     vectors needs vec_id and embedding (an array of numbers). Vectors that are
     null, zero, of another length than the first usable one by vec_id, or that
     hold null or non-finite components link with nothing. Equal vectors link
-    with each other. Rows that repeat a vec_id are one vector; a null vec_id
-    stays null, and its row links with nothing. Other columns are ignored; an
-    empty table gives no rows.
+    with each other. Rows that repeat a vec_id are one vector; if they differ,
+    it is that with the smallest 128-bit hash, and all its rows with vectors
+    that can link get that one's result. A null vec_id stays null, and its row links with nothing. Other
+    columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     sized = vectors.where("embedding is not null and size(embedding) > 0").agg(F.min(F.struct("vec_id", F.size("embedding").alias("dim")))).first()[0]
     dim = sized["dim"] if sized else 1
-    rows = materialize(_classed(vectors, dim), "vec-rows")
-    named = rows.where("vec_id is not null and name is not null").distinct()
+    every = _classed(vectors, dim)  # read twice: names are written, vectors are not
+    rows = materialize(every.select("vec_id", "name"), "vec-rows")
+    named = rows.where("vec_id is not null and name is not null").groupBy("vec_id").agg(F.min("name").alias("name"), F.max("name").alias("last"))
+    named = materialize(named, "vec-named")
     classes = materialize(named.groupBy("name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vec-classes")
 
-    vec = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["id"])
-    reps = materialize(vec.join(classes.select(F.col("rep").alias("id"), "weight"), "id"), "vec-reps")
+    vec = every.join(classes.select(F.col("name").alias("own"), "rep", "weight"), (F.col("vec_id") == F.col("rep")) & (F.col("name") == F.col("own")))
+    reps = vec.groupBy(F.col("rep").alias("id"), "weight").agg(F.any_value("embedding").alias("embedding")).select("id", "embedding", "weight")
+    reps = materialize(reps, "vec-reps")
     n = reps.count()
     edges = spark.createDataFrame([], "a long, b long")
     links = spark.createDataFrame([], "id long, links long")
@@ -188,13 +193,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         wanted = n_pivots(n)
         sample = reps.orderBy(F.xxhash64("id"), "id").select("embedding").limit(min(SAMPLE, 4 * wanted)).collect()
         pivots = choose_pivots(unit(np.array([r[0] for r in sample], np.float64)), wanted)
-        nearest, shared = (NEAREST, SHARED) if n <= MANY else (NEAREST_MANY, SHARED_MANY)
-        near = materialize(_described(reps, pivots, nearest), "vec-near")
-        cells = materialize(_listed(near, shared), "vec-cells")
+        near = materialize(_described(reps, pivots, NEAREST), "vec-near")
+        cells = materialize(_listed(near, SHARED), "vec-cells")
         sizes = materialize(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "vec-sizes")
         meets = block_pairs(cells, sizes, F.ceil(F.col("n") / BLOCK))
         full = meets.join(reps.join(near, "id"), "id").select("key", "lo", "hi", "block", "id", "near", "embedding", "weight")
-        out = materialize(dealt(full).mapInArrow(_verifier(threshold, shared), "id long, links long, root long"), "vec-out")
+        out = materialize(dealt(full).mapInArrow(_verifier(threshold, SHARED), "id long, links long, root long"), "vec-out")
         release(cells)
         links = out.groupBy("id").agg(F.sum("links").alias("links"))
         edges = out.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
@@ -202,6 +206,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     found = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").join(links.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select("name", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    several = named.where("name <> last").select(F.col("vec_id").alias("id"), F.col("name").alias("first"))
+    if not several.isEmpty():
+        rows = rows.join(several, F.col("vec_id") == F.col("id"), "left").select("vec_id", F.coalesce("first", "name").alias("name"))
     result = salted_join(rows, found, "name", "vec_id")
     linked = F.col("vec_id").isNotNull()
     component = F.when(linked, F.coalesce("component_id", "vec_id"))
