@@ -5,14 +5,18 @@ those with equal payloads is a `response`, the others are `revisit` records
 that refer to it and carry its digest. Which is which is found on digests
 alone; pages that are certainly no revisits are written by the tasks that scan
 them, and only possible revisits (by a bitmap of fixed size) are joined.
-Every record is a gzip member of its own. Spark's text writer puts the bytes
-out as they are, with an empty gzip member as line separator, so archives are
-ordinary .warc.gz files in whatever store Spark writes to.
-
-The reader takes archives whole, compressed or not. Where a member or record
-fails its checks (checksum, length, header, digests), it searches on for the
-next member or version line that does parse, recovers the records from there,
-and reports the bytes in between as a quarantined gap.
+Every record is a gzip member of its own. A task gathers members up to
+ARCHIVE_BYTES, and Spark's text writer puts each such archive out as it is, as
+a file of its own, so archives are ordinary .warc.gz files of bounded size in
+whatever store Spark writes to.
+
+The reader takes archives whole (of up to 2 GB, Spark's limit for a value),
+compressed or not. Where a member or record fails its checks (checksum, length,
+header, digests), it searches on for the next member or version line that does
+parse, recovers the records from there, and reports the bytes in between as a
+quarantined gap. A member is not given up as a whole: the records that come
+before the place where its data end or break are checked and kept, and a damaged
+record inside a member is skipped to the next version line in it.
 """
 
 from __future__ import annotations
@@ -38,9 +42,9 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of at least so many bytes are written as revisits if they repeat.
 MIN_REVISIT_BYTES = 0
-#: Records per archive at most.
-ARCHIVE_RECORDS = 5000
-#: What stands between records: an empty gzip member.
+#: Bytes of an archive at most, unless one record alone has more.
+ARCHIVE_BYTES = 16_000_000
+#: What stands at the end of an archive: an empty gzip member.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MAGIC = b"\x1f\x8b\x08"
 RECORD_ID = "urn:x-page:{}"
@@ -112,57 +116,115 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, high + 4
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at `at`. Raises Damaged."""
+def member(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What can be unpacked of the gzip member at `at`, its end (None if it is damaged or cut short) and the damage.
+
+    The checksum stands at a member's end, so what precedes damage is unpacked
+    unchecked; records' own digests then tell what of it is good.
+    """
     view, unpack, out = memoryview(data), zlib.decompressobj(31), []
     pos = at
-    try:
-        while not unpack.eof:
-            if pos >= len(data):
-                raise Damaged("member cut short")
-            piece = view[pos : pos + 65_536]
+    while not unpack.eof:
+        if pos >= len(data):
+            out.append(unpack.flush())
+            return b"".join(out), None, "member cut short"
+        piece = view[pos : pos + 65_536]
+        try:
             out.append(unpack.decompress(piece))
-            pos += len(piece)
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    return b"".join(out), pos - len(unpack.unused_data)
+        except zlib.error as e:
+            return b"".join([*out, _before_damage(view, at, pos, len(piece))]), None, f"gzip: {e}"
+        pos += len(piece)
+    return b"".join(out), pos - len(unpack.unused_data), ""
+
+
+def _before_damage(view: memoryview, at: int, pos: int, size: int) -> bytes:
+    """What the bytes pos to pos + size of the member at `at` give until they break: a failing call gives nothing."""
+    unpack, out = zlib.decompressobj(31), []
+    for low in range(at, pos, 65_536):
+        unpack.decompress(view[low : min(low + 65_536, pos)])
+    try:
+        for i in range(pos, pos + size, 64):
+            out.append(unpack.decompress(view[i : min(i + 64, pos + size)]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _records(data: bytes, checked: bool) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+    """start, end, fields, block, "" of the plain records of data; fields None and the reason for what is none.
+
+    checked: whether a checksum vouches for the bytes. Where none does, a record
+    counts only if it has a block digest.
+    """
+    at, bad, why = 0, None, ""
+    while at < len(data):
+        try:
+            fields, block, end = parse(data, at)
+            if not checked and not fields.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damaged("no digest in a damaged member")
+        except Damaged as e:
+            if bad is None:
+                bad, why = at, str(e)
+            found = VERSION_LINE.search(data, at + 1)
+            at = found.start() if found else len(data)
+            continue
+        if bad is not None:
+            yield bad, at, None, b"", why
+            bad = None
+        yield at, end, fields, block, ""
+        at = end
+    if bad is not None:
+        yield bad, len(data), None, b"", why
 
 
 def _next_start(data: bytes, at: int) -> int:
     """Where a member or a version line may begin, from `at` on; the end if nowhere."""
-    places = [p for p in (data.find(MAGIC, at), data.find(b"WARC/1.", at)) if p >= 0]
+    line = VERSION_LINE.search(data, at)
+    places = [p for p in (data.find(MAGIC, at), line.start() if line else -1) if p >= 0]
     return min(places, default=len(data))
 
 
-def _unit(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the member or plain record at `at`, and its end."""
-    if data[at : at + 2] != MAGIC[:2]:
-        fields, block, end = parse(data, at)
-        return [(fields, block)], end
-    content, end = member(data, at)
-    found, pos = [], 0
-    while pos < len(content):
-        fields, block, pos = parse(content, pos)
-        found.append((fields, block))
-    return found, end
+def _unit(data: bytes, at: int) -> tuple[list[Found], int | None, str]:
+    """The records and gaps of the member or plain record at `at`, its end (None if it has none), and the damage.
+
+    What is found inside a member has the member's start and, if that is known,
+    its end; a gap inside it says so.
+    """
+    if data[at : at + len(MAGIC)] != MAGIC:
+        try:
+            fields, block, end = parse(data, at)
+        except Damaged as e:
+            return [], None, str(e)
+        return [Found(at, end, fields, block, "")], end, ""
+    content, end, why = member(data, at)
+    upto = len(data) if end is None else end
+    found = [Found(at, upto, fields, block, why and f"inside a member: {why}") for _, _, fields, block, why in _records(content, end is not None)]
+    while end is None and found and found[-1].fields is None:
+        found.pop()  # the gap that follows covers it
+    if end is not None or found:
+        return found, end, why
+    return [], None, why
 
 
 def salvage(data: bytes) -> Iterator[Found]:
     """All records that can be recovered from an archive, and the gaps between them."""
     at, bad, why = 0, None, ""
     while at < len(data):
-        try:
-            records, end = _unit(data, at)
-        except Damaged as e:
+        records, end, damage = _unit(data, at)
+        if end is None:
+            following = _next_start(data, at + 1)
             if bad is None:
-                bad, why = at, str(e)
-            at = _next_start(data, at + 1)
+                bad, why = at, damage
+            elif records:
+                yield Found(bad, at, None, b"", why)
+                bad, why = at, damage
+            yield from (x._replace(end=following) for x in records)
+            at = following
             continue
         if bad is not None:
             yield Found(bad, at, None, b"", why)
             bad = None
-        for fields, block in records:
-            yield Found(at, end, fields, block, "")
+        yield from records
         at = end
     if bad is not None:
         yield Found(bad, len(data), None, b"", why)
@@ -194,17 +256,24 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     some = some.join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha")), "left").select("page_id", "url", "payload", "refers_to")
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            out = []
-            for page_id, url, payload, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                text = record(page_id, url, payload, hashlib.sha1(payload).digest(), len(payload), refers_to, refers_to is not None)
-                out.append(gzip.compress(text, 6, mtime=0))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    members = plain.unionByName(some).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+            for page_id, url, payload, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
+                body, first = payload.as_py(), refers_to.as_py()
+                text = record(page_id.as_py(), url.as_py(), body, hashlib.sha1(body).digest(), len(body), first, first is not None)
+                one = gzip.compress(text, 6, mtime=0)
+                if held and size + len(one) > ARCHIVE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+                    held, size = [], 0
+                held.append(one)
+                size += len(one)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+
+    archives = plain.unionByName(some).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     # the charset is only that of the separator: Spark writes a string's bytes as they are
-    writer = members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-    writer.option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    writer = archives.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+    writer.option("maxRecordsPerFile", 1).text(path)
 
 
 RECORDS = "path string, start long, end long, reason string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -245,10 +314,30 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to the shared folder and read them back: one row per record."""
+def quarantine(found: DataFrame) -> DataFrame:
+    """The gaps among what `read_archives` found: path, start, end, reason."""
+    return found.where("record_type is null").select("path", "start", "end", "reason")
+
+
+class Incomplete(RuntimeError):
+    """Not all pages came back from the archives."""
+
+
+def round_trip(pages: DataFrame, quarantined: str | None = None) -> DataFrame:
+    """Write the pages to the shared folder and read them back: one row per record.
+
+    Gaps are written as a table to the path `quarantined`, by default one in the
+    shared folder. If there are any, or fewer records than pages, Incomplete is
+    raised and names that table: no page is lost without a word.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
-    found = read_archives(spark, path).where("record_type is not null")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = materialize(read_archives(spark, path), "warc-found")
+    told = found.agg(F.count_if(F.col("record_type").isNotNull()).alias("records"), F.count_if(F.col("record_type").isNull()).alias("gaps")).first()
+    wanted = pages.count()
+    if told["gaps"] or told["records"] != wanted:
+        quarantined = quarantined or scratch_path(spark, "warc-quarantine")
+        quarantine(found).write.mode("overwrite").parquet(quarantined)
+        raise Incomplete(f"{told['records']} of {wanted} pages came back; {told['gaps']} gaps are listed in {quarantined}")
+    return found.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
