@@ -10,7 +10,10 @@ language's training texts. Texts whose best two codewords are near each other
 are flagged as ambiguous.
 
 Training reads a bounded sample, about SAMPLE texts per language chosen by a
-hash of the doc_id; prediction is one pass over the whole texts in numpy.
+hash of the doc_id; all languages are learned. The driver takes the n-gram rates
+of one language after the other and keeps sums per bit only, so that its memory
+grows with the number of bits, about ten times the logarithm of the number of
+languages. Prediction is one pass over the whole texts in numpy.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from .common import materialize, parts, slices
 
-#: Training texts per language, about, and languages that are learned at most (those with most texts).
-SAMPLE, MAX_LANGUAGES = 1500, 256
+#: Training texts per language, about.
+SAMPLE = 1500
+#: Of so many languages or fewer, the best of TRIES random codes is taken; of more, the first with distinct words.
+TRIES, COMPARED = 200, 1000
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 16
 #: n-grams after which a text's evidence no longer grows, and what one of them counts.
@@ -47,10 +52,12 @@ def codewords(n: int, seed: int = 6) -> np.ndarray:
         return np.array(cols, np.int8).T.reshape(n, -1)
     rng, bits = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n)))
     best, apart = None, -1
-    for _ in range(200):
+    for _ in range(TRIES):
         code = rng.choice(np.array([-1, 1], np.int8), (n, bits))
-        if (np.abs(code.sum(axis=0)) == n).any():
+        if (np.abs(code.sum(axis=0, dtype=np.int64)) == n).any() or len(np.unique(code, axis=0)) < n:
             continue
+        if n > COMPARED:
+            return code
         far = ((bits - code.astype(int) @ code.T.astype(int)) // 2 + np.eye(n, dtype=int) * bits).min()
         if far > apart:
             best, apart = code, far
@@ -82,7 +89,7 @@ def margins(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     for a, b in slices([s + 3 for s in sizes], CHUNK_BYTES):
         data, begins = _joined(texts[a:b])
         grams = _grams(data)
-        step = 1 << 18
+        step = max(1 << 12, (1 << 21) // max(weights.shape[1], 1))
         total = np.zeros((b - a, weights.shape[1]))
         for low in range(0, len(grams), step):  # keeps what is gathered in the processor's cache
             part = grams[low : low + step]
@@ -97,8 +104,7 @@ def margins(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 def decode(found: np.ndarray, code: np.ndarray, trust: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row of the codeword with the least weighted loss, and its share among all: a score of 0 to 1."""
-    loss = np.logaddexp(0, -found[:, None, :] * code[None, :, :])
-    total = (loss * trust[None, :, :]).sum(axis=2)
+    total = np.logaddexp(0, -found) @ (trust * (code > 0)).T + np.logaddexp(0, found) @ (trust * (code < 0)).T
     least = total.min(axis=1, keepdims=True)
     share = np.exp(least - total)
     return total.argmin(axis=1), 1 / share.sum(axis=1)
@@ -125,40 +131,63 @@ def _lowered(texts: pa.Array) -> list[bytes]:
 def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """lang and text of about `sample` labelled documents of each language, none of the held-out fold."""
     known = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (_fold() != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    counts = materialize(known.groupBy("lang").count(), "lang-counts")  # broadcast by Spark as long as it is small
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) < F.lit(float(sample)) / F.col("count") * (1 << 30)
-    return materialize(known.join(F.broadcast(materialize(counts, "lang-counts")), "lang").where(share).select("lang", "text"), "lang-sample")
+    return materialize(known.join(counts, "lang").where(share).select("lang", "text"), "lang-sample")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from the documents' text and lang; what comes to the driver is one number per language and bucket."""
-    chosen = training_sample(docs, sample)
+def _rates(chosen: DataFrame) -> DataFrame:
+    """lang and its smoothed n-gram rates as BUCKETS doubles in bytes: one row per language, each made by one task.
+
+    A language has about SAMPLE texts here, so no task is unbounded.
+    """
 
     def count(batches):
-        for batch in parts(batches, CHUNK_DOCS):
-            langs, texts = batch.column(0).to_pylist(), _lowered(batch.column(1))
-            for lang in sorted(set(langs)):
-                total = np.zeros(BUCKETS, np.int64)
-                own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                for a, b in slices(list(map(len, own)), CHUNK_BYTES):
-                    total += np.bincount(_grams(_joined(own[a:b])[0]).ravel(), minlength=BUCKETS)
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
-
-    grams = chosen.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(grams.column("lang").to_pylist()))
+        last, total = None, np.zeros(BUCKETS, np.int64)
+
+        def row() -> pa.RecordBatch:
+            rates = (total + 0.5) / (total + 0.5).sum()  # each language counts alike
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.string()), pa.array([rates.tobytes()], pa.binary())], ["lang", "rates"])
+
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1)
+            ends = [i + 1 for i in range(len(langs)) if i + 1 == len(langs) or langs[i + 1] != langs[i]]
+            for a, b in zip([0, *ends], ends):  # noqa: B905
+                if langs[a] != last:
+                    if last is not None:
+                        yield row()
+                    last, total = langs[a], np.zeros(BUCKETS, np.int64)
+                for low in range(a, b, CHUNK_DOCS):
+                    own = _lowered(texts.slice(low, min(CHUNK_DOCS, b - low)))
+                    for x, y in slices(list(map(len, own)), CHUNK_BYTES):
+                        total += np.bincount(_grams(_joined(own[x:y])[0]).ravel(), minlength=BUCKETS)
+        if last is not None:
+            yield row()
+
+    return chosen.repartition("lang").sortWithinPartitions("lang").mapInArrow(count, "lang string, rates binary")
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Learn from the documents' text and lang."""
+    chosen = training_sample(docs, sample)
+    languages = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
     code = codewords(len(languages))
-    counts = np.zeros((len(languages), BUCKETS))
     row = {x: i for i, x in enumerate(languages)}
-    counts[[row[x] for x in grams.column("lang").to_pylist()], grams.column("bucket").to_numpy()] = grams.column("n").to_numpy()
-    rates = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)  # each language counts alike
+    rates = materialize(_rates(chosen), "lang-rates")
+    total, positive = np.zeros(BUCKETS), np.zeros((code.shape[1], BUCKETS))
+    for r in rates.toLocalIterator():  # one partition of languages at a time
+        own = np.frombuffer(r["rates"])
+        total += own
+        positive[code[row[r["lang"]]] > 0] += own
     weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
     for bit in range(code.shape[1]):
-        for sign in (1, -1):
-            if (code[:, bit] == sign).any():
-                weights[:, bit] += sign * np.log(rates[code[:, bit] == sign].mean(axis=0))
+        n = int((code[:, bit] > 0).sum())
+        if n:
+            weights[:, bit] += np.log(positive[bit] / n)
+        if n < len(languages):
+            weights[:, bit] -= np.log((total - positive[bit]) / (len(languages) - n))
 
     def check(batches):
         for batch in parts(batches, CHUNK_DOCS):
