@@ -32,10 +32,8 @@ CLASSES = {
 SYMBOLS = r"[#*$%&|<>]"
 #: Common words of a language that make up its histogram, and how long they are at most.
 N_COMMON, COMMON_LENGTH = 24, 6
-#: Bits for a window's number in a sort key: texts of up to 2**24 words.
+#: Bits for a window's number in a sort key; texts of more words take a slower way.
 POSITION = 24
-#: Languages with references of their own, by number of documents; others are held against the whole corpus.
-MAX_LANGUAGES = 64
 MIN_WORDS = 50
 #: A repeated 3-word window covers at most this share of the words.
 MAX_REPEATED = 0.5
@@ -50,20 +48,34 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _covered(starts: Column) -> Column:
+    """How many words the 3-word windows that begin at the sorted `starts` cover."""
+    covered = let(starts, lambda p: F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))))
+    return F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _neighbours(ordered: Column, same) -> Column:
+    """The elements of a sorted array that are the same as one beside them."""
+    return F.filter(ordered, lambda x, k: F.coalesce(same(x, F.get(ordered, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(ordered, k + 1)), F.lit(False)))
+
+
 def repeated_words(windows: Column, ordered: Column) -> Column:
     """How many words stand in 3-word windows that occur twice or more.
 
     windows: a hash per window. ordered: the upper bits of the hashes with the
     window's number in the lower POSITION bits, sorted, so that equal windows
-    are neighbours (whose whole hashes are then compared).
+    are neighbours. Where that cannot tell (numbers with more bits, or different
+    hashes with equal upper bits), whole hashes are sorted with their numbers.
     """
     low = F.lit((1 << POSITION) - 1).cast("long")
     number = lambda x: x.bitwiseAND(low).cast("int")
-    same = lambda x, y: (F.shiftright(x, POSITION) == F.shiftright(y, POSITION)) & (F.get(windows, number(x)) == F.get(windows, number(y)))
-    again = F.filter(ordered, lambda x, k: F.coalesce(same(x, F.get(ordered, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(ordered, k + 1)), F.lit(False)))
-    starts = F.sort_array(F.transform(again, number))
-    covered = let(starts, lambda p: F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))))
-    return F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
+    upper = lambda x, y: F.shiftright(x, POSITION) == F.shiftright(y, POSITION)
+    whole = lambda x, y: F.get(windows, number(x)) == F.get(windows, number(y))
+    again = _neighbours(ordered, upper)
+    mixed = F.exists(F.sequence(F.lit(1), F.size(ordered) - 1), lambda k: upper(F.get(ordered, k), F.get(ordered, k - 1)) & ~whole(F.get(ordered, k), F.get(ordered, k - 1)))
+    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    exact = let(pairs, lambda p: F.sort_array(F.transform(_neighbours(p, lambda x, y: x["h"] == y["h"]), lambda x: x["i"])))
+    return F.when((F.size(windows) > (1 << POSITION)) | mixed, _covered(exact)).otherwise(_covered(F.sort_array(F.transform(again, number))))
 
 
 def with_measures(docs: DataFrame) -> DataFrame:
@@ -134,12 +146,6 @@ def common_counts(words: Column, common: Column, longest: Column) -> Column:
     )
 
 
-def _languages(docs: DataFrame) -> DataFrame:
-    """The MAX_LANGUAGES languages with most documents, as `own`."""
-    counts = docs.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    return materialize(counts.orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).select(F.col("lang").alias("own")), "quality-langs")
-
-
 def _with_total(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """df (own, by, names) as it is for named languages, and summed over all rows under the null language."""
     every = df.groupBy(*by).agg(*(F.sum(n).alias(n) for n in names)) if by else df.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
@@ -170,16 +176,18 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of docs with the measures, char_distance, word_distance, base_failed and kept.
 
-    docs needs text and lang. A null text is one without words, a null lang or
-    one beyond the MAX_LANGUAGES most frequent is held against the whole
-    corpus. Repeated rows are judged each for itself. Other columns are
-    ignored; an empty table gives no rows.
+    docs needs text and lang. A null text is one without words, a null lang is
+    held against the whole corpus. Repeated rows are judged each for itself.
+    Other columns are ignored; an empty table gives no rows.
+
+    References are a row of some hundred bytes per language. Spark broadcasts
+    them as long as their table is small (its own limit, which it checks), and
+    joins by shuffle beyond.
     """
     carried = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
-    # both broadcasts are bounded: MAX_LANGUAGES + 1 rows of some hundred bytes
-    known = docs.select(*carried, "text", "lang").join(F.broadcast(_languages(docs)), F.col("lang") == F.col("own"), "left")
+    known = docs.select(*carried, "text", F.col("lang").alias("own"))
     refs = word_references(known.select("own", "text")).withColumnRenamed("own", "r")
-    held = with_measures(known).join(F.broadcast(refs), F.col("own").eqNullSafe(F.col("r")), "left")
+    held = with_measures(known).join(refs, F.col("own").eqNullSafe(F.col("r")), "left")
     held = held.withColumn("_counts", common_counts(F.col("_words"), F.col("common"), F.col("longest")))
     word = F.when(F.col("n_words") >= MIN_JUDGED_WORDS, js_distance("_counts", F.col("n_words"), F.col("words")))
     names = [f"keep_{i}" for i in range(len(keep))]
@@ -189,7 +197,7 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     sums = _with_total(told.groupBy("own").agg(*(F.sum(c).alias(c) for c in ("word_chars", *classes))), [], ["word_chars", *classes])
     share = lambda x: F.when(F.col("word_chars") > 0, x / F.col("word_chars")).otherwise(F.lit(0.0))
     chars = materialize(sums.select(F.col("own").alias("r"), F.transform(_class_counts(), share).alias("chars")), "quality-chars")
-    told = told.join(F.broadcast(chars), F.col("own").eqNullSafe(F.col("r")), "left").withColumn("_classes", _class_counts())
+    told = told.join(chars, F.col("own").eqNullSafe(F.col("r")), "left").withColumn("_classes", _class_counts())
     char = F.when(F.col("word_chars") >= MIN_JUDGED_CHARS, js_distance("_classes", F.col("word_chars"), F.col("chars")))
     told = told.withColumn("char_distance", char)
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(int(100 * MAX_REPEATED)) * F.col("n_words"))
