@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id; of rows with the same doc_id, one."""
+    """One document of each near-duplicate group stays, the one with the smallest doc_id; of rows with the same doc_id, that whose text has the smallest hash."""
     ship(spark)
     docs = docs.select(*COLUMNS)
     found = bagminhash.near_duplicates(docs)
@@ -35,7 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = maybe_in(docs, "doc_id", touched.select("doc_id"))
     some = marked.where("_maybe").select(*COLUMNS)
     untouched = some.join(touched.select("doc_id"), "doc_id", "left_anti")
-    repeated = some.join(touched.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    repeated = some.join(touched.where("kept").select("doc_id"), "doc_id", "left_semi")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), *COLUMNS[1:])).alias("first")  # no matter in which order rows come
+    repeated = repeated.groupBy("doc_id").agg(first).select("doc_id", *(f"first.{c}" for c in COLUMNS[1:]))
     return marked.where(~F.col("_maybe")).select(*COLUMNS).unionByName(untouched).unionByName(repeated)
 
 
