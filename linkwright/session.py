@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _HOME = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_made: list[str] = []
 #: Rows of an Arrow batch, where the session has Spark's default of 10,000: with long texts that many fill a worker.
 BATCH_ROWS = 2000
 
@@ -73,4 +74,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def made_since(n: int = 0) -> list[str]:
+    """Paths of the tables that `materialize` has written, from the n-th on."""
+    return _made[n:]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables in the shared folder that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
