@@ -171,9 +171,9 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def _seeds(shared: DataFrame, name: str) -> DataFrame:
+def _seeds(shared: DataFrame) -> DataFrame:
     """doc, first_doc, start, length, words, first_start: where a later document has what first_doc has."""
-    origin = materialize(shared.where("doc = first_doc").groupBy("key").agg(F.min("place").alias("origin")), f"{name}-origins")
+    origin = shared.where("doc = first_doc").groupBy("key").agg(F.min("place").alias("origin"))
     start, length, words = _unpacked(F.col("place"))
     found = shared.where("doc > first_doc").join(origin, "key")
     return found.select("doc", "first_doc", start.alias("start"), length.alias("length"), words.alias("words"), _unpacked(F.col("origin"))[0].alias("first_start"))
@@ -233,7 +233,7 @@ def runs(chunked: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """
     one = _shared(chunked.withColumnRenamed("digest", "key"), "chunk")
     more = _shared(grams(one.select("doc", "place", "key")), "gram")
-    seeds = _seeds(one, "chunk").withColumn("single", F.col("words")).unionByName(_seeds(more, "gram").withColumn("single", F.lit(0).cast("long")))
+    seeds = _seeds(one).withColumn("single", F.col("words")).unionByName(_seeds(more).withColumn("single", F.lit(0).cast("long")))
     seeds = seeds.withColumn("shift", F.col("start") - F.col("first_start")).withColumn("end", F.col("start") + F.col("length"))
     line = Window.partitionBy("doc", "first_doc", "shift").orderBy("start", "end")
     before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
@@ -241,7 +241,11 @@ def runs(chunked: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     seeds = seeds.withColumn("run", F.sum("breaks").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     grouped = seeds.groupBy("doc", "first_doc", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.greatest(F.sum("single"), F.max("words")).alias("words"))
     found = grouped.where(F.col("words") >= run_words)
-    return found.select("doc", "start", (F.col("end") - F.col("start")).alias("size"), "first_doc", (F.col("start") - F.col("shift")).alias("first_start"))
+    found = found.select("doc", "start", (F.col("end") - F.col("start")).alias("size"), "first_doc", (F.col("start") - F.col("shift")).alias("first_start"))
+    found = materialize(found, "chunk-runs")
+    release(one)
+    release(more)
+    return found
 
 
 def extend(text: bytes, at: int, size: int, left: bytes, right: bytes, begins: bool = True, ends: bool = True) -> tuple[int, int, int]:
@@ -384,13 +388,14 @@ def window_spans(docs: DataFrame, spans: DataFrame, min_words: int) -> DataFrame
     found = again.groupBy("doc", "first_doc", "run").agg(F.min("from").alias("from"), F.max("to").alias("to"), (F.max("word") - F.min("word") + min_words).alias("words"))
     found = materialize(found.select("doc", "from", "to", "words", "first_doc"), "window-spans")
     release(rows)
+    release(listed)
     return found
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """doc, from, to (bytes), words, first_doc of passages that an earlier document has, word for word."""
     chunked = materialize(chunks(docs), "chunk-rows")
-    found = materialize(runs(chunked, run_words), "chunk-runs")
+    found = runs(chunked, run_words)
     release(chunked)
     ids = found.select(F.explode(F.array("doc", "first_doc")).alias("id")).distinct()
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("bytes"))
@@ -415,6 +420,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int =
 
     spans = both.mapInArrow(run, "doc long, from long, to long, words long, first_doc long").distinct()
     spans = materialize(spans, "chunk-run-spans")
+    release(texts)
+    release(found)
     return spans.unionByName(window_spans(docs, spans, min_words))
 
 
