@@ -248,6 +248,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         stars = full.mapInArrow(_verifier(similarity), "a long, b long").distinct()
         links = materialize(links.union(stars), "bag-links")
         groups = materialize(connected_components(links), "bag-groups")
+    for old in (members, texts, rest, links):
+        release(old)
 
     group = classes.join(groups, classes["rep"] == groups["id"], "left").select("words_key", F.coalesce("component", "rep").alias("class_id"))
     out = salted_join(sig, group, "words_key", "doc_id")
