@@ -1,10 +1,9 @@
 """String similarity: Indel ratios in Arrow batches, set and length measures as expressions.
 
 The longest common subsequence of a batch of pairs is computed for all pairs
-at a time: the shorter string of a pair becomes bit masks, one 64-bit word per
-distinct character, and each character of the longer one updates one word of
-state. Strings whose shorter one exceeds 64 characters take the same algorithm
-on Python's long integers.
+at a time: the shorter string of a pair becomes bit masks, one bit per place
+and as many 64-bit words as that takes, and each character of the longer one
+updates the pair's state. Pairs are taken together by their number of words.
 """
 
 from __future__ import annotations
@@ -32,54 +31,67 @@ def _codes(texts: list[str]) -> np.ndarray:
 
 
 def _masks(short: list[str], long: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Match masks by (pair, character number) and the character numbers of the long strings (0: padding)."""
+    """Match masks by (pair, character number, word) and the character numbers of the long strings (0: padding)."""
     a, b = _codes(short), _codes(long)
     known, numbers = np.unique(np.concatenate(([0], a.ravel(), b.ravel())), return_inverse=True)
     a, b = numbers[1 : 1 + a.size].reshape(a.shape), numbers[1 + a.size :].reshape(b.shape)
-    masks = np.zeros((len(short), len(known)), np.uint64)
+    masks = np.zeros((len(short), len(known), -(-a.shape[1] // WORD)), np.uint64)
     rows = np.arange(len(short))
     for i in range(a.shape[1]):
-        masks[rows, a[:, i]] |= np.uint64(1 << i)
+        masks[rows, a[:, i], i // WORD] |= np.uint64(1 << i % WORD)
     masks[:, 0] = 0
     return masks, b
 
 
 def _step(state: np.ndarray, match: np.ndarray) -> np.ndarray:
+    """The next state, of (pairs, words): state + hit, carried from word to word, or state - hit."""
     hit = state & match
-    return (state + hit) | (state - hit)
+    total = state + hit
+    if state.shape[1] > 1:
+        over = total < state
+        carry = over[:, 0]
+        for w in range(1, state.shape[1]):
+            more = total[:, w] + carry
+            carry = over[:, w] | (more < total[:, w])
+            total[:, w] = more
+    return total | (state - hit)
 
 
-def _big_lcs(a: str, b: str) -> int:
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    state = full
-    for c in b:
-        hit = state & masks.get(c, 0)
-        state = ((state + hit) | (state - hit)) & full
-    return len(a) - state.bit_count()
+def _full(sizes: np.ndarray, words: int) -> np.ndarray:
+    """The lowest `size` bits of each row's words."""
+    bits = np.clip(sizes[:, None] - WORD * np.arange(words)[None, :], 0, WORD).astype(np.uint64)
+    return np.where(bits == WORD, ~np.uint64(0), (np.uint64(1) << (bits % np.uint64(WORD))) - np.uint64(1))
+
+
+def _common(state: np.ndarray, full: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The longest common subsequence that a state tells: the bits that are 0."""
+    return sizes - np.bitwise_count(state & full).sum(axis=1, dtype=np.int64)
+
+
+def _alike(pairs: list[tuple[str, str]]) -> list[np.ndarray]:
+    """Numbers of the pairs (shorter first) in parts of one number of words and much the same length."""
+    order = sorted((i for i, (x, _) in enumerate(pairs) if x), key=lambda i: (-(-len(pairs[i][0]) // WORD), len(pairs[i][1])))
+    out: list[list[int]] = []
+    for i in order:
+        words = -(-len(pairs[i][0]) // WORD)
+        if not out or words != -(-len(pairs[out[-1][0]][0]) // WORD) or len(out[-1]) * words >= 4096:
+            out.append([])
+        out[-1].append(i)
+    return [np.array(x) for x in out]
 
 
 def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
     """Length of the longest common subsequence of each pair."""
     pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
     out = np.zeros(len(pairs), np.int64)
-    small = np.array([i for i, (x, _) in enumerate(pairs) if 0 < len(x) <= WORD], np.int64)
-    for i, (x, y) in enumerate(pairs):
-        if len(x) > WORD:
-            out[i] = _big_lcs(x, y)
-    small = small[np.argsort([len(pairs[i][1]) for i in small], kind="stable")]  # equal lengths together: less padding
     with np.errstate(over="ignore"):
-        for low in range(0, len(small), 4096):
-            part = small[low : low + 4096]
+        for part in _alike(pairs):
             masks, y = _masks([pairs[i][0] for i in part], [pairs[i][1] for i in part])
-            state, rows = np.full(len(part), ~np.uint64(0)), np.arange(len(part))
+            state, rows = np.full((len(part), masks.shape[2]), ~np.uint64(0)), np.arange(len(part))
             for j in range(y.shape[1]):
                 state = _step(state, masks[rows, y[:, j]])
-            sizes = np.array([len(pairs[i][0]) for i in part], np.uint64)
-            full = np.where(sizes == WORD, ~np.uint64(0), (np.uint64(1) << (sizes % np.uint64(WORD))) - np.uint64(1))
-            out[part] = sizes.astype(np.int64) - np.bitwise_count(state & full)
+            sizes = np.array([len(pairs[i][0]) for i in part])
+            out[part] = _common(state, _full(sizes, masks.shape[2]), sizes)
     return out
 
 
@@ -89,19 +101,43 @@ def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(total == 0, 100.0, 100.0 * 2 * lcs_lengths(a, b) / np.where(total == 0, 1, total))
 
 
-def _windows(m: int, n: int) -> list[tuple[int, int]]:
-    """(start, length) of the windows of a string of n that one of m <= n is compared with."""
-    heads = [(0, k) for k in range(1, m)]
-    tails = [(n - k, k) for k in range(1, m)]
-    return [(i, m) for i in range(n - m + 1)] + heads + tails
-
-
-def _big_partial(a: str, b: str) -> float:
-    return max(200.0 * _big_lcs(a, b[i : i + k]) / (len(a) + k) for i, k in _windows(len(a), len(b)))
+def _best_prefix(short: list[str], long: list[str]) -> np.ndarray:
+    """The best ratio of the short strings with the beginnings of the long ones that are shorter than they."""
+    masks, y = _masks(short, long)
+    sizes, rows = np.array(list(map(len, short))), np.arange(len(short))
+    full = _full(sizes, masks.shape[2])
+    state, best = np.full((len(short), masks.shape[2]), ~np.uint64(0)), np.zeros(len(short))
+    for k in range(1, int(sizes.max())):  # one pass tells all beginnings
+        state = _step(state, masks[rows, y[:, k - 1]])
+        ratio = 200.0 * _common(state, full, sizes) / (sizes + k)
+        best = np.maximum(best, np.where(k < sizes, ratio, 0.0))
+    return best
+
+
+def _best_window(short: list[str], long: list[str]) -> np.ndarray:
+    """The best ratio of the short strings with the windows of the long ones that are as long as they."""
+    masks, y = _masks(short, long)
+    sizes = np.array(list(map(len, short)))
+    count = np.array(list(map(len, long))) - sizes + 1
+    order = np.argsort(-sizes, kind="stable")
+    pair = np.repeat(order, count[order])
+    start = np.arange(len(pair)) - np.repeat(np.cumsum(count[order]) - count[order], count[order])
+    size = sizes[pair]
+    state = np.full((len(pair), masks.shape[2]), ~np.uint64(0))
+    for j in range(int(size[0])):
+        n = int(np.searchsorted(-size, -j, "left"))  # windows that are longer than j
+        state[:n] = _step(state[:n], masks[pair[:n], y[pair[:n], start[:n] + j]])
+    best = np.zeros(len(short))
+    np.maximum.at(best, pair, 200.0 * _common(state, _full(size, masks.shape[2]), size) / (2 * size))
+    return best
 
 
 def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
-    """The best Indel ratio of the shorter string with a window of the longer; both ways if equally long."""
+    """The best Indel ratio of the shorter string with a window of the longer; both ways if equally long.
+
+    Windows are as long as the shorter string, or shorter at the longer one's
+    ends: these are beginnings, and beginnings of the reversed strings.
+    """
     out = np.zeros(len(a))
     todo: list[tuple[int, str, str]] = []
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -111,38 +147,24 @@ def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
             x, y = (x, y) if len(x) <= len(y) else (y, x)
             if x in y:
                 out[i] = 100.0
-            elif len(x) > WORD:
-                out[i] = max(_big_partial(x, y), _big_partial(y, x) if len(x) == len(y) else 0.0)
             else:
                 todo.append((i, x, y))
                 if len(x) == len(y):
                     todo.append((i, y, x))
-    todo.sort(key=lambda t: (len(t[1]), len(t[2])))
+    todo.sort(key=lambda t: (-(-len(t[1]) // WORD), len(t[1]), len(t[2])))
     at = 0
     with np.errstate(over="ignore"):
         while at < len(todo):
             end, states = at, 0
-            while end < len(todo) and (end == at or states < MAX_STATES):
-                states += len(todo[end][1]) + len(todo[end][2])
+            words = -(-len(todo[at][1]) // WORD)
+            while end < len(todo) and (end == at or states < MAX_STATES) and -(-len(todo[end][1]) // WORD) == words:
+                states += words * (len(todo[end][1]) + len(todo[end][2]))
                 end += 1
             part = todo[at:end]
-            masks, y = _masks([t[1] for t in part], [t[2] for t in part])
-            shapes: dict[tuple[int, int], np.ndarray] = {}
-            spans = [shapes.setdefault(k, np.array(_windows(*k))) if (k := (len(x), len(z))) not in shapes else shapes[k] for _, x, z in part]
-            pair = np.repeat(np.arange(len(part)), [len(s) for s in spans])
-            span = np.concatenate(spans)
-            start, size = span[:, 0], span[:, 1]
-            order = np.argsort(-size, kind="stable")
-            pair, start, size = pair[order], start[order], size[order]
-            state = np.full(len(pair), ~np.uint64(0))
-            for j in range(int(size[0])):
-                n = int(np.searchsorted(-size, -j, "left"))  # windows that are longer than j
-                state[:n] = _step(state[:n], masks[pair[:n], y[pair[:n], start[:n] + j]])
-            m = np.array([len(t[1]) for t in part], np.uint64)[pair]
-            full = np.where(m == WORD, ~np.uint64(0), (np.uint64(1) << (m % np.uint64(WORD))) - np.uint64(1))
-            common = m.astype(np.int64) - np.bitwise_count(state & full)
-            ratio = 200.0 * common / (m.astype(np.int64) + size)
-            np.maximum.at(out, np.array([t[0] for t in part])[pair], ratio)
+            short, long = [t[1] for t in part], [t[2] for t in part]
+            back = [x[::-1] for x in short], [y[::-1] for y in long]
+            best = np.maximum.reduce([_best_window(short, long), _best_prefix(short, long), _best_prefix(*back)])
+            np.maximum.at(out, np.array([t[0] for t in part]), best)
             at = end
     return out
 

@@ -9,10 +9,8 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import lexicon as lex
 
@@ -22,52 +20,111 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@cache
-def _accent_table() -> tuple[str, str]:
-    """For translate(): characters with one-character decompositions, then combining marks (deleted).
+#: White space of Unicode, as Java's classes name it.
+BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
+#: Decompositions of up to so many characters are made by place, longer ones from a map, Hangul syllables by rule.
+PLACES = 2
+#: Hangul syllables, and their leading, middle and trailing letters in order.
+HANGUL = (0xAC00, 0xD7A3)
+JAMO = ((0x1100, 19), (0x1161, 21), (0x11A8, 27))
 
-    Made from the Unicode tables at hand: a character whose compatibility
-    decomposition is one character besides combining marks maps to that.
-    """
-    source, target, gone = [], [], []
+
+@cache
+def _decompositions() -> dict[str, str]:
+    """Each character that is not its own compatibility decomposition without combining marks, and that ('' for a mark)."""
+    found = {}
     for code in range(0x80, 0x110000):
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+        if 0xD800 <= code < 0xE000:
             continue
         char = chr(code)
-        if unicodedata.combining(char):
-            gone.append(char)
-            continue
         plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != char:
-            source.append(char)
-            target.append(plain)
-    return "".join(source + gone), "".join(target)
+        if plain != char:
+            found[char] = plain
+    return found
+
+
+@cache
+def _accent_table() -> tuple[str, str]:
+    """For translate(): characters with one-character decompositions, then what is deleted."""
+    short = {k: v for k, v in _decompositions().items() if len(v) < 2}
+    order = sorted(short, key=lambda k: (not short[k], k))
+    return "".join(order), "".join(short[k] for k in order)
+
+
+@cache
+def _places() -> list[tuple[str, str]]:
+    """For translate(), one pair per place: characters with decompositions of 2 to PLACES characters to that place's (or nothing)."""
+    some = {k: v for k, v in _decompositions().items() if 2 <= len(v) <= PLACES and not HANGUL[0] <= ord(k) <= HANGUL[1]}
+    out = []
+    for i in range(PLACES):
+        order = sorted(some, key=lambda k: (len(some[k]) <= i, k))
+        out.append(("".join(order), "".join(some[k][i] for k in order if len(some[k]) > i)))
+    return out
+
+
+@cache
+def _long_forms() -> str:
+    """For str_to_map(): characters with longer decompositions."""
+    return "\x01".join(f"{k}\x02{v}" for k, v in _decompositions().items() if len(v) > PLACES and not HANGUL[0] <= ord(k) <= HANGUL[1])
+
+
+@cache
+def _spread() -> str:
+    """A regular expression of the characters with decompositions of several characters."""
+    codes = sorted(ord(k) for k, v in _decompositions().items() if len(v) > 1)
+    ranges: list[list[int]] = []
+    for c in codes:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _syllable(ch: Column) -> Column:
+    """A Hangul syllable's letters: syllables are numbered by leading, middle and trailing letter (or none)."""
+    first, middle, last = ("".join(chr(a + i) for i in range(n)) for a, n in JAMO)
+    n = F.ascii(ch) - HANGUL[0]
+    tails = len(last) + 1
+    at = lambda letters, i: F.substring(F.lit(letters), i, F.lit(1))
+    lead = at(first, F.floor(n / (len(middle) * tails)).cast("int") + 1)
+    vowel = at(middle, F.floor(F.pmod(n, F.lit(len(middle) * tails)) / tails).cast("int") + 1)
+    tail = F.pmod(n, F.lit(tails))
+    return F.concat(lead, vowel, F.when(tail > 0, at(last, tail)).otherwise(F.lit("")))
 
 
 def strip_accents(c: Column) -> Column:
-    """Characters without their accents (N-1); ASCII texts, by far the most, skip the table.
+    """The compatibility decomposition without combining marks (N-1).
 
-    Decompositions into several characters (ligatures, fractions, Hangul) are
-    left alone; `strip_accents_exact` does those too.
+    ASCII texts, by far the most, skip the tables. Only texts that hold a
+    character with a decomposition into several (ligatures, fractions, Hangul)
+    are taken apart into characters; nothing leaves generated code for Python.
     """
     source, target = _accent_table()
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, source, target)).otherwise(c)
+
+    def spread(ch: Column) -> Column:
+        parts = F.concat(*(F.translate(ch, a, b) for a, b in _places()))
+        longer = F.try_element_at(F.str_to_map(F.lit(_long_forms()), F.lit("\x01"), F.lit("\x02")), ch)
+        in_places = F.translate(ch, _places()[0][0], "") == ""
+        hangul = ch.between(chr(HANGUL[0]), chr(HANGUL[1]))
+        return F.when(hangul, _syllable(ch)).when(in_places, parts).otherwise(F.coalesce(longer, ch))
+
+    whole = F.array_join(F.transform(F.split(c, ""), spread), "")
+    several = F.when(c.rlike(_spread()), whole).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(several, source, target)).otherwise(c)
 
 
-@F.pandas_udf(StringType())
-def strip_accents_exact(s: pd.Series) -> pd.Series:
-    """The full compatibility decomposition without combining marks, in Arrow batches."""
-    drop = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
-    return s.map(lambda t: t if t is None or t.isascii() else drop(t))
+def stripped(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
 
 
-def clean(c: Column, exact: bool = False) -> Column:
+def clean(c: Column) -> Column:
     """Lower case, no accents, `&` as a word, anything but words to single spaces (N-2); no value gives ''."""
-    plain = strip_accents_exact(c) if exact else strip_accents(c)
-    text = F.replace(F.lower(plain), F.lit("&"), F.lit(" and "))
+    text = F.replace(F.lower(strip_accents(c)), F.lit("&"), F.lit(" and "))
     text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s\p{Z}&]", " ")
-    text = F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
-    return F.when(c.isNull() | F.lower(F.trim(c)).isin(*lex.NO_VALUE), F.lit("")).otherwise(text)
+    text = F.trim(F.regexp_replace(text, rf"{BLANK}+", " "))
+    return F.when(c.isNull() | F.lower(stripped(c)).isin(*lex.NO_VALUE), F.lit("")).otherwise(text)
 
 
 def tokens(c: Column) -> Column:
@@ -164,4 +221,4 @@ def name_prefix(name: Column, n: int) -> Column:
 
 def plain_country(c: Column) -> Column:
     """Trimmed lower case only, as features compare it (N-13)."""
-    return F.coalesce(F.lower(F.trim(c)), F.lit(""))
+    return F.coalesce(F.lower(stripped(c)), F.lit(""))

@@ -29,9 +29,9 @@ def tagged(source2: DataFrame, source3: DataFrame) -> DataFrame:
     return source2.withColumn("source", F.lit("S2")).unionByName(source3.withColumn("source", F.lit("S3")), allowMissingColumns=True)
 
 
-def prepared(records: DataFrame, exact_accents: bool = False) -> DataFrame:
+def prepared(records: DataFrame) -> DataFrame:
     """The records with normalised fields and the array `keys` (B-1 to B-6), in the order of KEY_TYPES."""
-    cleaned = records.withColumn("_addr_text", text.clean(F.col("business_address"), exact_accents)).withColumn("_name_text", text.clean(F.col("business_name"), exact_accents))
+    cleaned = records.withColumn("_addr_text", text.clean(F.col("business_address"))).withColumn("_name_text", text.clean(F.col("business_name")))
     fields = cleaned.withColumn("name", text.name_of(F.col("_name_text"))).withColumn("addr", text.address_of(F.col("_addr_text")))
     country = text.normalize_country(F.col("country"))
     fields = fields.withColumn("area", F.when(country == "", F.lit(lexicon.UNKNOWN_COUNTRY)).otherwise(country))

@@ -125,11 +125,11 @@ def vector_neighbours(left: DataFrame, right: DataFrame, k: int = 10) -> DataFra
     """The k nearest vectors of the same block (X-3). left, right: id, block, vector. Exact within a block.
 
     Blocks bound the work, as countries do for records; within one, each left
-    vector meets each right one and a window limit keeps the nearest.
+    vector meets each right one of another id and a window limit keeps the nearest.
     """
     a = left.select(F.col("id").alias("left_id"), "block", F.col("vector").alias("lv"))
     b = right.select(F.col("id").alias("right_id"), "block", F.col("vector").alias("rv"))
-    near = a.join(b, "block").select("left_id", "right_id", "block", F.round(cosine(F.col("lv"), F.col("rv")), 6).alias("similarity"))
+    near = a.join(b, "block").where("left_id <> right_id").select("left_id", "right_id", "block", F.round(cosine(F.col("lv"), F.col("rv")), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

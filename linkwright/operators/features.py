@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 
+# The columns of the feature table.
 FEATURES = (
     "name_cosine_sim",
     "name_token_sort_ratio",
@@ -19,6 +20,8 @@ FEATURES = (
     "addr_len_diff",
     "country_match",
 )
+#: A record's fields that features compare.
+FIELDS = ("name", "addr", "country")
 
 
 def record_lookup(records: DataFrame) -> DataFrame:
@@ -29,14 +32,13 @@ def record_lookup(records: DataFrame) -> DataFrame:
 
 def with_fields(candidates: DataFrame, source1: DataFrame, others: DataFrame) -> DataFrame:
     """Candidates with both records' fields (J-1); ids that a lookup lacks get empty fields."""
-    fields = ("name", "addr", "country")
-    side = lambda df, key, tag: df.select(F.col("entity_id").alias(key), *(F.col(c).alias(f"{c}_{tag}") for c in fields))
+    side = lambda df, key, tag: df.select(F.col("entity_id").alias(key), *(F.col(c).alias(f"{c}_{tag}") for c in FIELDS))
     both = candidates.join(side(source1, "source1_entity_id", "a"), "source1_entity_id", "left").join(side(others, "other_id", "b"), "other_id", "left")
-    return both.fillna("", subset=[f"{c}_{t}" for c in fields for t in "ab"])
+    return both.fillna("", subset=[f"{c}_{t}" for c in FIELDS for t in "ab"])
 
 
-def compute_features(candidates: DataFrame, source1: DataFrame, others: DataFrame) -> DataFrame:
-    """The candidates with the columns FEATURES.
+def compute_features(candidates: DataFrame, source1: DataFrame, others: DataFrame, fields: bool = False) -> DataFrame:
+    """The candidates with the columns FEATURES, and with both records' fields if asked for.
 
     source1 and others are lookups. All four kernels run in one pass over Arrow
     batches; the rest is generated code. name_cosine_sim is taken over, or made
@@ -57,7 +59,7 @@ def compute_features(candidates: DataFrame, source1: DataFrame, others: DataFram
     })
     if "name_cosine_sim" not in candidates.columns:
         rated = rated.withColumn("name_cosine_sim", f("name_token_sort_ratio"))
-    return rated.select(*extra, *FEATURES)
+    return rated.select(*extra, *FEATURES, *(f"{c}_{t}" for c in FIELDS for t in "ab" if fields))
 
 
 def formula_score(features: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ def _sources(spark: SparkSession, folder: str, kind: str) -> tuple[DataFrame, Da
 
 
 def parser() -> argparse.ArgumentParser:
+    # The commands, their flags and their defaults.
     top = argparse.ArgumentParser(prog="linkwright")
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("train")
@@ -72,7 +73,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.mode == "val":
             truth = scored.where("label = 1")
             ids = scored.select("source1_entity_id").distinct()
-            print(linkage.tune(scored, truth, ids, a.threshold))
+            print(linkage.tune(scored, truth, ids, a.threshold, [float(x) for x in a.lambda_grid.split(",") if x.strip()]))
         else:
             if not a.test_dir or not a.rule:
                 parser().error("--mode test needs --test-dir and --rule")

@@ -23,8 +23,7 @@ def featured(source1: DataFrame, source2: DataFrame, source3: DataFrame, folder:
     """Candidates with features and both records' fields, written under folder."""
     candidates = _kept(blocking.generate_candidates(source1, source2, source3, **options), f"{folder}/candidates")
     left, right = features.record_lookup(source1), features.record_lookup(source2.unionByName(source3, allowMissingColumns=True))
-    rated = features.compute_features(candidates, left, right)
-    return _kept(features.with_fields(rated, left, right), f"{folder}/features")
+    return _kept(features.compute_features(candidates, left, right, fields=True), f"{folder}/features")
 
 
 def train(spark: SparkSession, source1: DataFrame, source2: DataFrame, source3: DataFrame, truth: DataFrame, folder: str, sample: int | None = None, seed: int = 42, rounds: int = 300, everyone: bool = True, **options) -> dict:
@@ -46,6 +45,7 @@ def train(spark: SparkSession, source1: DataFrame, source2: DataFrame, source3:
     sweep = metrics.threshold_sweep(scored, positives.join(ids, "source1_entity_id", "left_semi"), ids)
     top = metrics.best(sweep, "threshold").first()
     ceiling = labels.recall_ceiling(spark.read.parquet(f"{folder}/candidates"), positives).first()
+    # The keys of the sidecar.
     told = {"threshold": top["threshold"], "val_macro_f0.5": top["macro_f05"], "blocking_recall_ceiling": ceiling["recall"], "n_candidate_pairs": rows.count()}
     files.write_sidecar(spark, told, f"{folder}/metadata")
     return told
@@ -67,10 +67,11 @@ def finish(candidates: DataFrame, matches: DataFrame, source1: DataFrame, folder
     files.write_id_lists(files.id_lists(matches, ids, "matched_entity_ids"), f"{folder}/matching_results", one_file)
 
 
-def tune(scored: DataFrame, truth: DataFrame, ids: DataFrame, at: float = 0.5) -> dict:
-    """The best lambda with and without one-to-one, the four rules' reports, and the best rule."""
-    plain = metrics.best(decide.lambda_grid(scored, truth, ids), "lambda").first()["lambda"]
-    single = metrics.best(decide.lambda_grid(scored, truth, ids, exclusive=True), "lambda").first()["lambda"]
+def tune(scored: DataFrame, truth: DataFrame, ids: DataFrame, at: float = 0.5, grid: list[float] | None = None) -> dict:
+    """The best lambda of the grid with and without one-to-one, the four rules' reports, and the best rule."""
+    grid = list(grid or decide.LAMBDAS)
+    plain = metrics.best(decide.lambda_grid(scored, truth, ids, grid), "lambda").first()["lambda"]
+    single = metrics.best(decide.lambda_grid(scored, truth, ids, grid, exclusive=True), "lambda").first()["lambda"]
     rows = [r.asDict() for r in decide.compare_rules(scored, truth, ids, at, plain, single).collect()]
     return {"lambda": plain, "lambda_one_to_one": single, "rules": rows, "best": max(rows, key=lambda r: (round(r["macro_f05"], 12), -decide.RULES.index(r["rule"])))["rule"]}
 

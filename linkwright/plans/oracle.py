@@ -6,6 +6,8 @@ the steps up to the one asked for are common table expressions.
 
 from __future__ import annotations
 
+import unicodedata
+
 from ..functions import lexicon as lex
 from ..operators import decide, metrics
 from ..sources import fixtures
@@ -20,11 +22,23 @@ def _split(x: str) -> str:
     return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
 
 
+_BLANK = r"[\s\p{Z}\x1c-\x1f\x{85}]"
+#: What accent stripping leaves whole in the SQL engine: the characters of the fixture that decompose into several.
+_SPREAD = {c: unicodedata.normalize("NFKD", c) for c in "ﬁﬂ½한국"}
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
 def _clean(x: str) -> str:
     none = ", ".join(f"'{t}'" for t in lex.NO_VALUE)
-    text = f"replace(lower(strip_accents({x})), '&', ' and ')"
-    text = rf"trim(regexp_replace(regexp_replace({text}, '[^\p{{L}}\p{{N}}_\s&]', ' ', 'g'), '\s+', ' ', 'g'))"
-    return f"case when {x} is null or lower(trim({x})) in ({none}) then '' else {text} end"
+    plain = f"strip_accents({x})"
+    for c, d in _SPREAD.items():
+        plain = f"replace({plain}, '{c}', '{d}')"
+    text = f"replace(lower({plain}), '&', ' and ')"
+    text = rf"trim(regexp_replace(regexp_replace({text}, '[^\p{{L}}\p{{N}}_\s&]', ' ', 'g'), '{_BLANK}+', ' ', 'g'))"
+    return f"case when {x} is null or lower({_stripped(x)}) in ({none}) then '' else {text} end"
 
 
 def _sound(word: str) -> str:
@@ -82,7 +96,7 @@ _NAME = f"array_to_string(list_transform({_split('n_text')}, lambda t: {_case('t
 
 STEPS: dict[str, str] = {k: v for k, v in fixtures.CTES.items()}
 STEPS["records"] = "select 'S1' as source, * from fx_source1 union all select 'S2', * from fx_source2 union all select 'S3', * from fx_source3"
-STEPS["cleaned"] = f"select *, {_clean('business_name')} as n_text, {_clean('business_address')} as a_text, {_clean('country')} as c_text, lower(trim(country)) as plain from records"
+STEPS["cleaned"] = f"select *, {_clean('business_name')} as n_text, {_clean('business_address')} as a_text, {_clean('country')} as c_text, lower({_stripped('country')}) as plain from records"
 STEPS["normal"] = f"select *, {_NAME} as name, {_ADDRESS} as addr, {_case('c_text', lex.COUNTRIES)} as land from cleaned"
 STEPS["prepared"] = rf"""
 select *, case land when '' then '{lex.UNKNOWN_COUNTRY}' else land end as area, regexp_extract(a_text, '\d+') as house, {_postcode('a_text')} as post,
@@ -185,7 +199,7 @@ for _name, _value in {
     "n_clean": "n_text", "n_name": "name", "n_address": "addr", "n_country": "land", "n_house_number": "house", "n_postcode": "post", "n_soundex": "sound", "n_digit_key": "digits", "n_plain_country": "plain",
     "n_token_set": f"array_to_string(list_sort(list_distinct({_split('name')})), ' ')",
 }.items():
-    _add(_name, f"select entity_id, {_value} as value from prepared")
+    _add(_name, f"select entity_id, {_value} as value from prepared", records=STEPS["records"] + " union all select 'odd', * from fx_odd")
 
 _add("b_keys", "select source, entity_id, key_type, key from all_keys")
 _add("b_empty_key_filter", "select source, key_type, count(*) as n, count(distinct key) as keys from keys group by all")
@@ -287,7 +301,7 @@ _add(
     totals="select area, count(*) as total from prepared where source <> 'S1' group by all",
     weights="select source, entity_id, area, gram, coalesce(df, 0) as df, tf * (ln((1 + coalesce(total, 0)) / (1 + coalesce(df, 0))::double) + 1) as w from tf left join df using (area, gram) left join totals using (area)",
     unit="select *, w / sqrt(sum(w * w) over (partition by source, entity_id)) as u from weights",
-    sums="select a.entity_id as source1_entity_id, b.entity_id as other_id, b.source, round(sum(a.u * b.u), 6) as similarity from unit a join unit b on a.area = b.area and a.gram = b.gram and a.source = 'S1' and b.source <> 'S1' and a.df between 1 and 300 and b.df between 1 and 300 group by all",
+    sums="select a.entity_id as source1_entity_id, b.entity_id as other_id, b.source, round(sum(a.u * b.u), 6) as similarity from unit a join unit b on a.area = b.area and a.gram = b.gram and a.source = 'S1' and b.source <> 'S1' group by all",
 )
 _add(
     "x_rare_token",
@@ -298,7 +312,7 @@ _add(
 ORACLE["x_embedding_knn"] = """
 with v as (select vec_id, label, embedding::double[] as e from embeddings where embedding is not null),
 near as (select a.vec_id as left_id, b.vec_id as right_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) as s
-  from v a join v b on a.label = b.label and a.vec_id % 2 = 0 and b.vec_id % 2 = 1)
+  from v a join v b on a.label = b.label and a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
 select left_id, right_id, rank, s as similarity from (select *, row_number() over (partition by left_id order by s desc, right_id) as rank from near) where rank <= 10
 """
 _both = "case when {0} <> '' and {1} <> '' then {0} || ' ' || {1} else '' end"

@@ -75,7 +75,8 @@ def ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scalar(name: str, column, of: str = "business_address"):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return everyone(spark, sf).select("entity_id", column(F.col(of)).alias("value"))
+        odd = fixtures.relation(spark, sf, "fx_odd").withColumn("source", F.lit("odd"))
+        return everyone(spark, sf).unionByName(odd).select("entity_id", column(F.col(of)).alias("value"))
 
     QUERIES[name] = run
 
@@ -430,7 +431,7 @@ def x_rare_token(spark, sf):
 @query
 def x_embedding_knn(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
-    return extra.vector_neighbours(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 10).select("left_id", "right_id", F.col("rank").cast("long").alias("rank"), "similarity")
+    return extra.vector_neighbours(rows.where("id % 20 = 0"), rows, 10).select("left_id", "right_id", F.col("rank").cast("long").alias("rank"), "similarity")
 
 
 @query
@@ -494,9 +495,8 @@ def x_french_address(spark, sf):
 
 def _labelled(spark, sf) -> DataFrame:
     s1, s2, s3 = fixtures.sources(spark, sf)
-    left, right = features.record_lookup(s1), features.record_lookup(s2.unionByName(s3))
-    rated = features.compute_features(candidates(spark, sf), left, right)
-    return labels.split(labels.label(features.with_fields(rated, left, right), truth(spark, sf)))
+    rated = features.compute_features(candidates(spark, sf), features.record_lookup(s1), features.record_lookup(s2.unionByName(s3)), fields=True)
+    return labels.split(labels.label(rated, truth(spark, sf)))
 
 
 @query
@@ -505,6 +505,17 @@ def g_gbt_scores(spark, sf):
     return model.score(model.fit(rows.where(~F.col("held_out")), rounds=5), rows).select("source1_entity_id", "other_id", "score", "label", "held_out")
 
 
+@query
+def g_out_of_fold(spark, sf):
+    return model.out_of_fold(_labelled(spark, sf), folds=2, rounds=3).select("source1_entity_id", "other_id", "oof_score", "label")
+
+
+@query
+def g_calibrated(spark, sf):
+    rows = labels.split(labels.label(scored(spark, sf), truth(spark, sf)))
+    return model.calibrated(rows, rows.where(~F.col("held_out"))).select("source1_entity_id", "other_id", F.round("score", 9).alias("score"), "label", "held_out")
+
+
 @query
 def g_neural_scores(spark, sf):
     rows = _labelled(spark, sf)

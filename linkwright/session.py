@@ -22,7 +22,8 @@ BATCH_ROWS = 2000
 def ship(spark: SparkSession) -> None:
     """Prepare a session, once per application: smaller Arrow batches, and the package's sources for the executors.
 
-    Sources are not sent where PYTHONPATH already leads workers to them.
+    Sources are not sent where PYTHONPATH already leads workers to them. Their
+    archive stands in the shared folder, as executors that join later fetch it too.
     """
     app = spark.sparkContext.applicationId
     if app in _shipped:
@@ -38,7 +39,10 @@ def ship(spark: SparkSession) -> None:
         with zipfile.ZipFile(archive, "w") as z:
             for f in sorted(_HOME.rglob("*.py")):
                 z.write(f, f.relative_to(_HOME.parent))
-        spark.sparkContext.addPyFile(archive)
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        shared = hadoop.Path(scratch_path(spark, _HOME.name) + ".zip")
+        shared.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(hadoop.Path(archive), shared)
+        spark.sparkContext.addPyFile(shared.toString())
 
 
 def scratch_root(spark: SparkSession) -> str:

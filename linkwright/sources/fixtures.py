@@ -41,7 +41,15 @@ select 'S1-' || cast(k as varchar(20)) source1_entity_id,
   case when c4 <> 3 then 'S3-' || cast(k as varchar(20)) else '' end matched_entity_ids
 from fx_base
 """
-CTES = {"fx_base": BASE, "fx_source1": SOURCE1, "fx_source2": SOURCE2, "fx_source3": SOURCE3, "fx_ground_truth": TRUTH}
+#: Records that hold what normalisation must take apart or trim: ligatures, fractions, Hangul, tabs, line ends, wide and no-break spaces.
+ODD = """
+select 'O-' || cast(k as varchar(20)) entity_id,
+  case k % 5 when 0 then w || '\u00a0 ﬁne ½ 한국 ' || nm || ' Corporation' when 1 then '\tnone\n' when 2 then '\u3000NaN\u2003' when 3 then nm || '\u2028& É\u0301tude' else '' end business_name,
+  case k % 3 when 0 then sz || '½ ﬂat\u00a0' || br || ' Street' when 1 then '\u00a0None ' else sz || '\t' || pc end business_address,
+  case c4 when 0 then '\u00a0USA\t' when 1 then 'in\n' when 2 then '\u3000' else 'FR\u2003' end country
+from fx_base where k % 7 = 0
+"""
+CTES = {"fx_base": BASE, "fx_source1": SOURCE1, "fx_source2": SOURCE2, "fx_source3": SOURCE3, "fx_ground_truth": TRUTH, "fx_odd": ODD}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,11 +37,18 @@ def test_normalisation(spark, column, pairs):
 
 
 def test_accents_follow_python(spark):
-    words = ["Ångström", "naïve façade", "हिन्दी", "été", "ＡＢＣ", "Ǆ plain", "½", "ﬁn", "한국"]
-    plain = ["".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)) for w in words]
-    assert values(spark, lambda c: text.strip_accents_exact(c), words) == plain
-    assert values(spark, text.strip_accents, words[:5]) == plain[:5]
-    assert values(spark, text.strip_accents, ["½", "ﬁn"]) == ["½", "ﬁn"]  # several characters: left alone
+    """Every character there is, alone and among others."""
+    words = ["Ångström", "naïve façade", "हिन्दी", "été", "ＡＢＣ", "Ǆ plain", "½", "ﬁn", "한국", "", None, "\ufdfa x"]
+    words += ["".join(chr(c) for c in range(a, a + 64)) for a in range(0x80, 0x110000, 64) if not 0xD800 <= a < 0xE000]
+    plain = [None if w is None else "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)) for w in words]
+    assert values(spark, text.strip_accents, words) == plain
+
+
+def test_white_space_is_trimmed_as_python_does(spark):
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    words = [f"{b}None{b}" for b in blanks] + [f"{b}USA{b}" for b in blanks]
+    assert values(spark, text.clean, words) == [""] * len(blanks) + ["usa"] * len(blanks)
+    assert values(spark, text.plain_country, words) == [w.strip().lower() for w in words]
 
 
 def lcs(a, b):
@@ -104,3 +111,16 @@ def test_sets_and_lengths(spark):
     assert [r[0] for r in df.select(similarity.token_jaccard(a, b)).collect()] == [1.0, 0.0, pytest.approx(1 / 3), 1.0]
     assert [r[0] for r in df.select(similarity.length_difference(a, b)).collect()] == [0.0, 1.0, 0.0, 2.0]
     assert [r[0] for r in df.select(similarity.country_match(a, b)).collect()] == [0.0] * 4
+
+
+def test_long_strings_take_several_words():
+    """Shorter strings of 64, 65, 128 and more characters: carries pass from word to word."""
+    rng = random.Random(7)
+    word = lambda n, letters="abcd": "".join(rng.choice(letters) for _ in range(n))
+    sizes = (1, 5, 63, 64, 65, 70, 128, 129, 150)
+    a, b = ([word(rng.choice(sizes)) for _ in range(60)] for _ in range(2))
+    a += ["a" * 130, "ab" * 70, "x" * 200]
+    b += ["a" * 129 + "b", "ba" * 70, "y" * 150]
+    assert similarity.lcs_lengths(a, b).tolist() == [lcs(x, y) for x, y in zip(a, b, strict=True)]
+    some = slice(45, 63)
+    assert similarity.partial_ratios(a[some], b[some]) == pytest.approx([partial(x, y) for x, y in zip(a[some], b[some], strict=True)])

@@ -283,3 +283,12 @@ def test_models_learn(spark, relations, candidates, sf):
     assert losses[-1] < losses[0]
     scored = neural.score(matcher, rated)
     assert scored.columns[-1] == "score" and scored.count() == rated.count()
+
+
+def test_trigram_buckets_are_the_columns(spark):
+    """The matcher's buckets are those of the column that SQL is held against."""
+    names = ["", "a", "ab sons & co", "é한", "x" * 50]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
+    told = [r["b"] for r in df.select("i", neural.bucket_column(F.col("name")).alias("b")).orderBy("i").collect()]
+    flat, begins = neural.trigram_buckets(names)
+    assert [x.tolist() for x in np.split(flat, begins[1:])] == told

@@ -41,7 +41,7 @@ def test_registration():
     have = e.queries()
     assert set(e.oracle_sql()) <= set(have)
     without = set(queries.QUERIES) - set(oracle.ORACLE)
-    assert without == {"f_partial", "f_addr_partial", "f_all", "g_gbt_scores", "g_neural_scores", "g_policy_matches"}
+    assert without == {"f_partial", "f_addr_partial", "f_all", "g_calibrated", "g_gbt_scores", "g_neural_scores", "g_out_of_fold", "g_policy_matches"}
 
 
 def test_entry(spark):
