@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import blocking, decide, extra, features, labels, metrics, model, neural, policy, validate
+from ..session import materialize
 from ..sources import files, fixtures
 
 CAP = 10  # buckets of the fixture are small; this makes the cap bind
@@ -496,7 +497,7 @@ def x_french_address(spark, sf):
 def _labelled(spark, sf) -> DataFrame:
     s1, s2, s3 = fixtures.sources(spark, sf)
     rated = features.compute_features(candidates(spark, sf), features.record_lookup(s1), features.record_lookup(s2.unionByName(s3)), fields=True)
-    return labels.split(labels.label(rated, truth(spark, sf)))
+    return materialize(labels.split(labels.label(rated, truth(spark, sf))), "labelled")  # models read it once per tree level
 
 
 @query
@@ -512,7 +513,7 @@ def g_out_of_fold(spark, sf):
 
 @query
 def g_calibrated(spark, sf):
-    rows = labels.split(labels.label(scored(spark, sf), truth(spark, sf)))
+    rows = materialize(labels.split(labels.label(scored(spark, sf), truth(spark, sf))), "labelled")
     return model.calibrated(rows, rows.where(~F.col("held_out"))).select("source1_entity_id", "other_id", F.round("score", 9).alias("score"), "label", "held_out")
 
 
