@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 from ..functions import lexicon as lex
-from ..operators import decide, metrics
+from ..operators import decide, extra, metrics
 from ..sources import fixtures
 from . import queries as q
 
@@ -315,6 +315,13 @@ near as (select a.vec_id as left_id, b.vec_id as right_id, round(list_dot_produc
   from v a join v b on a.label = b.label and a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
 select left_id, right_id, rank, s as similarity from (select *, row_number() over (partition by left_id order by s desc, right_id) as rank from near) where rank <= 10
 """
+_pass = """
+select '{name}' as pass, left_id, right_id, rank, s as similarity from (select *, row_number() over (partition by left_id order by s desc, right_id) as rank from (
+  select a.vec_id as left_id, b.vec_id as right_id, round(list_dot_product(a.{c}, b.{c}) / sqrt(list_dot_product(a.{c}, a.{c}) * list_dot_product(b.{c}, b.{c})), 6) as s
+  from v a join v b on a.label = b.label and a.vec_id % 20 = 0 and a.vec_id <> b.vec_id where a.{c} is not null and b.{c} is not null and {which})) where rank <= {k}"""
+ORACLE["x_embedding_passes"] = """
+with v as (select vec_id, label, e as both, e[1:len(e) // 2] as name, case when vec_id % 3 <> 0 then e[len(e) // 2 + 1:] end as addr from (select *, embedding::double[] as e from embeddings where embedding is not null))
+""" + " union all ".join(_pass.format(name=n, c=f'"{c}"', k=k, which="b.addr is null" if alone else "true") for n, (c, k, alone) in extra.VECTOR_PASSES.items())
 _both = "case when {0} <> '' and {1} <> '' then {0} || ' ' || {1} else '' end"
 _tok = _sorted("name")
 _sounds = f"array_to_string(list_transform({_split('name')}[1:2], lambda t: {_sound('t')}), ' ')"
@@ -340,3 +347,26 @@ select short, long, count(*) as n from (select case when length(a) <= length(b)
 _french = {"r": "rue", "ch": "chemin", "q": "quai"}
 _long = "('12 r du ch de q ' || a_text)"
 _add("x_french_address", f"select entity_id, array_to_string(list_transform({_split(_long)}, lambda t: {_case('t', _french)}), ' ') as value from cleaned")
+_names = f"unnest([area || '|' || {_tok}, area || '|' || {_sounds}]) as key"
+_add(
+    "x_name_key_pairs",
+    "select a.entity_id as source1_entity_id, b.entity_id as other_id, b.source, b.key_type from name_keys a join name_keys b on a.key_type = b.key_type and a.key = b.key and a.source = 'S1' and b.source <> 'S1' join small s on s.source = b.source and s.key_type = b.key_type and s.key = b.key",
+    name_keys=f"select * from (select source, entity_id, unnest([0, 1])::bigint as key_type, {_names} from prepared) where key <> '' and not ends_with(key, '|')",
+    small="select source, key_type, key from name_keys where source <> 'S1' group by all having count(*) <= 50",
+)
+_match = "case when {0} = '' or {1} = '' then 0.5::double else ({0} = {1})::int::double end"
+_house = lambda x: rf"regexp_extract({x}, '\d+')"
+_ta, _tb, _pa, _pb = _split("name_a"), _split("name_b"), *(f"regexp_replace({_sorted(c)}, '[aeiou ]', '', 'g')" for c in ("name_a", "name_b"))
+_add("x_pair_details", f"""
+select source1_entity_id, other_id, house_match, post_match, case when longer = 0 then 0.0::double else round(aligned::double / longer, 9) end as aligned_share, first_token_match, plain_name_match,
+  count(*) filter (house_match = 1) over (partition by source1_entity_id) as same_house from (select source1_entity_id, other_id,
+  {_match.format(_house('addr_a'), _house('addr_b'))} as house_match, {_match.format(_postcode('addr_a'), _postcode('addr_b'))} as post_match, greatest(len({_ta}), len({_tb})) as longer,
+  len(list_filter(range(1, least(len({_ta}), len({_tb})) + 1), lambda i: ({_ta})[i::int] = ({_tb})[i::int])) as aligned,
+  (split_part(name_a, ' ', 1) <> '' and split_part(name_a, ' ', 1) = split_part(name_b, ' ', 1))::int::double as first_token_match, ({_pa} <> '' and {_pa} = {_pb})::int::double as plain_name_match from fielded)""")
+_places = {d: region for region, departments in extra.FRENCH_REGIONS.items() for d in departments.split()}
+_post = "right('000' || regexp_replace(entity_id, '[^0-9]', '', 'g'), 3)"
+_add("x_french_region", "select source, entity_id, " + " ".join(f"{'case' if not i else ''} when starts_with({_post}, '{d}') then '{r}'" for i, (d, r) in enumerate(sorted(_places.items(), key=lambda p: -len(p[0])))) + " else '' end as value from records")
+_latin = "('улица щукова юлия ъ οδος θεοψ ' || a_text)"
+for _letter, _form in extra.LATIN_FORMS.items():
+    _latin = f"replace({_latin}, '{_letter}', '{_form}')"
+_add("x_transliterated", f"select entity_id, {_latin} as value from cleaned")

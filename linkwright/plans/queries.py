@@ -435,6 +435,27 @@ def x_embedding_knn(spark, sf):
     return extra.vector_neighbours(rows.where("id % 20 = 0"), rows, 10).select("left_id", "right_id", F.col("rank").cast("long").alias("rank"), "similarity")
 
 
+@query
+def x_embedding_passes(spark, sf):
+    """Halves of a vector stand for name and address; ids divisible by 3 stand for records without one."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null")
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    addr = F.when(F.col("vec_id") % 3 != 0, F.slice("embedding", half + 1, F.size("embedding") - half))
+    rows = rows.select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("both"), F.slice("embedding", F.lit(1), half).alias("name"), addr.alias("addr"))
+    return extra.vector_passes(rows.where("id % 20 = 0"), rows).select("pass", "left_id", "right_id", F.col("rank").cast("long").alias("rank"), "similarity")
+
+
+@query
+def x_name_key_pairs(spark, sf):
+    return extra.name_key_pairs(*prepared(spark, sf)).withColumn("key_type", F.col("key_type").cast("long"))
+
+
+@query
+def x_pair_details(spark, sf):
+    rows = extra.pair_details(fielded(spark, sf))
+    return rows.select("source1_entity_id", "other_id", "house_match", "post_match", F.round("aligned_share", 9).alias("aligned_share"), "first_token_match", "plain_name_match", "same_house")
+
+
 @query
 def x_extra_keys(spark, sf):
     one, _ = prepared(spark, sf)
@@ -491,6 +512,17 @@ def x_french_address(spark, sf):
     return everyone(spark, sf).select("entity_id", extra.french_address(F.concat(F.lit("12 r du ch de q "), text.clean(F.col("business_address")))).alias("value"))
 
 
+@query
+def x_french_region(spark, sf):
+    digits = F.concat(F.lit("000"), F.regexp_replace("entity_id", "[^0-9]", ""))
+    return everyone(spark, sf).select("source", "entity_id", extra.french_region(F.concat(F.right(digits, F.lit(3)), F.lit("10"))).alias("value"))
+
+
+@query
+def x_transliterated(spark, sf):
+    return everyone(spark, sf).select("entity_id", extra.transliterated(F.concat(F.lit("улица щукова юлия ъ οδος θεοψ "), text.clean(F.col("business_address")))).alias("value"))
+
+
 # ---- models (no SQL equivalent)
 
 

@@ -161,6 +161,9 @@ def test_policy_gradient_is_exact():
     assert many["w2"] == pytest.approx(found["w2"], abs=0.02)
     trained = policy.train(sample, epochs=60)
     assert policy.expected(trained, sample) > policy.expected(policy.initial(), sample)
+    log = []
+    sampled = policy.train(sample, epochs=40, rollouts=8, log=log)
+    assert len(log) == 40 and log[-1] == policy.expected(sampled, sample) > policy.expected(policy.initial(), sample)
     again = policy.loads(policy.dumps(trained))
     assert policy.expected(again, sample) == pytest.approx(policy.expected(trained, sample))
 

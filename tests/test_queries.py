@@ -14,7 +14,7 @@ from linkwright.sources import files, fixtures
 from linkwright.streaming import matching
 
 ROOT = Path(__file__).resolve().parent.parent
-SOME = ["n_clean", "n_soundex", "n_postcode", "b_keys", "b_capped_pairs", "b_candidates", "f_addr_token_sort", "f_formula_score", "d_one_to_one_expected_f05", "d_policy_greedy", "m_threshold_sweep", "m_by_country", "s_id_list", "v_not_in_candidates", "x_tfidf_knn", "x_agreement", "x_embedding_knn"]
+SOME = ["n_clean", "n_soundex", "n_postcode", "b_keys", "b_capped_pairs", "b_candidates", "f_addr_token_sort", "f_formula_score", "d_one_to_one_expected_f05", "d_policy_greedy", "m_threshold_sweep", "m_by_country", "s_id_list", "v_not_in_candidates", "x_tfidf_knn", "x_agreement", "x_embedding_knn", "x_embedding_passes", "x_name_key_pairs", "x_pair_details", "x_french_region", "x_transliterated"]
 
 
 def plain(df):

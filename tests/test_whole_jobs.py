@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from linkwright.operators import extra
@@ -42,3 +43,20 @@ def test_frequent_grams_count(spark, monkeypatch):
     want = plain_tfidf(ones, others, 15, 0.2)
     assert len(want) == 20 * 2 * 15 and found.keys() == want.keys()
     assert all(found[p] == pytest.approx(x, abs=2e-6) for p, x in want.items())
+
+
+def test_nearest_vectors_by_parts(spark, monkeypatch):
+    """Vectors in many parts of a block, ties, and vectors without a direction."""
+    monkeypatch.setattr(extra, "VECTOR_BLOCK", 16)
+    rng = np.random.default_rng(1)
+    kept = {i: (i % 2, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(150)}
+    odd = [(200, 0, None), (201, 0, []), (202, 1, [0.0] * 4), (203, 1, [1.0, None, 1.0, 1.0]), (204, 0, [float("nan"), 1.0, 1.0, 1.0]), (205, 1, [float("inf"), 1.0, 1.0, 1.0]), (206, None, [1.0] * 4)]
+    rows = spark.createDataFrame([(i, b, v) for i, (b, v) in kept.items()] + odd, "id long, block int, vector array<double>")
+    found = {(r["left_id"], r["rank"]): (r["right_id"], r["similarity"]) for r in extra.vector_neighbours(rows.where("id % 3 = 0"), rows, 5).collect()}
+    want = {}
+    usable = {i: (b, np.array(v) / np.linalg.norm(v)) for i, (b, v) in kept.items() if any(v)}
+    for i, (b, v) in usable.items():
+        if i % 3 == 0:
+            near = sorted((-round(float(v @ w), 6), j) for j, (c, w) in usable.items() if c == b and j != i)[:5]
+            want |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(near)}
+    assert found == want
