@@ -82,7 +82,8 @@ def train_neural(spark: SparkSession, source1: DataFrame, source2: DataFrame, so
     rows = labels.split(labels.label(featured(source1, source2, source3, folder, **options), positives), held_out, seed)
     matcher, _ = neural.fit(rows.where(~F.col("held_out")), epochs=epochs, seed=seed)
     scored = _kept(neural.score(matcher, rows).select(*files.LABELLED.names, "held_out"), f"{folder}/neural_scored")
-    fitted = policy.train(policy.episodes(scored.where(~F.col("held_out")), positives, seed=seed), epochs=policy_epochs, seed=seed)
+    rewards: list[float] = []
+    fitted = policy.train(policy.episodes(scored.where(~F.col("held_out")), positives, seed=seed), epochs=policy_epochs, seed=seed, log=rewards)
     every = labels.split(source1.select(F.col("entity_id").alias("source1_entity_id")), held_out, seed)
     ids = every.where("held_out").select("source1_entity_id")
     true, val = positives.join(ids, "source1_entity_id", "left_semi"), scored.where("held_out")
@@ -94,6 +95,7 @@ def train_neural(spark: SparkSession, source1: DataFrame, source2: DataFrame, so
         "baseline_fixed_threshold": fixed["threshold"], "baseline_fixed_threshold_f05": fixed["macro_f05"], "rl_policy_f05": learned["macro_f05"],
     }
     files.write_sidecar(spark, told, f"{folder}/report")
+    files.write_sidecar(spark, {"expected_f05": rewards}, f"{folder}/policy_rewards")
     return told
 
 
