@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import blocking
 
 
-def prepare_reference(source2: DataFrame, source3: DataFrame, path: str, max_bucket: int = blocking.MAX_BUCKET) -> DataFrame:
+def prepare_reference(source2: DataFrame, source3: DataFrame, path: str, max_bucket: int | None = blocking.MAX_BUCKET) -> DataFrame:
     """The reference records, normalised, keyed and with oversized buckets blanked, as a table."""
     ready = blocking.within_cap(blocking.prepared(blocking.tagged(source2, source3)), max_bucket)
     ready.write.mode("overwrite").parquet(path)
@@ -24,7 +24,7 @@ def start(stream: DataFrame, reference: DataFrame, out: str, checkpoint: str, to
     """Append every micro-batch's candidates to the table at out, one folder per batch, so that a repeated batch replaces its own."""
 
     def run(batch: DataFrame, number: int) -> None:
-        pairs = blocking.bucket_pairs(blocking.prepared(batch), reference, 1 << 62)
+        pairs = blocking.bucket_pairs(blocking.prepared(batch), reference)
         found = blocking.best_candidates(blocking.scored_pairs(pairs, floor), top_k)
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
