@@ -26,3 +26,13 @@ def test_large_buckets_count_whole(spark, crowd):
     assert sorted(map(tuple, blocking.shared_key_counts(p1, p2).collect())) == [("S2", 0, 3200), ("S2", 3, 1600), ("S2", 4, 3200)]  # without a house number, only the first meets at that key
     assert blocking.shared_keys(p1, p2).count() == 8000
     assert blocking.shared_key_counts(p1, p2, 1500).count() == 0  # a bound that is asked for holds
+
+
+@pytest.mark.parametrize("cap", [None, 10])
+def test_pairs_do_not_pass_the_driver(spark, crowd, tmp_path, cap):
+    """Small files do not tell how many exploded rows they hold: neither side is sent to the driver to be broadcast."""
+    one, many, none = crowd
+    for name, df in (("one", blocking.prepared(one)), ("many", blocking.prepared(blocking.tagged(many, none)))):
+        df.write.parquet(f"{tmp_path}/{name}")
+    plan = blocking.bucket_pairs(spark.read.parquet(f"{tmp_path}/one"), spark.read.parquet(f"{tmp_path}/many"), cap)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
