@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkwright.functions import similarity
-from linkwright.operators import blocking, classes
+from linkwright.operators import blocking, classes, features
 from linkwright.session import materialize
 from linkwright.sources import fixtures
 
@@ -86,3 +86,9 @@ def test_common_lengths(monkeypatch):
     for masks in (1 << 22, 200):
         monkeypatch.setattr(similarity, "MAX_MASKS", masks)
         assert similarity.common_lengths(texts, i, j).tolist() == expected
+
+
+def test_lookups_do_not_normalise_again(spark, crowd):
+    one = crowd[0].unionByName(records(spark, [("C", "Énergie & Sons Limited", "5 Saint-Jean Street", " USA ")]))
+    again = features.prepared_lookup(blocking.prepared(one).drop("business_name", "business_address"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, features.record_lookup(one).collect()))
