@@ -14,6 +14,7 @@ from linkwright.plans import queries
 RECORD = "entity_id string, business_name string, business_address string, country string"
 FASTER = [
     "d_expected_f05",
+    "d_one_to_one_expected_f05",
 ]
 
 
