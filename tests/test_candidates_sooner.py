@@ -15,6 +15,7 @@ RECORD = "entity_id string, business_name string, business_address string, count
 FASTER = [
     "d_expected_f05",
     "d_one_to_one_expected_f05",
+    "d_one_to_one_threshold",
 ]
 
 
