@@ -16,6 +16,7 @@ FASTER = [
     "d_expected_f05",
     "d_one_to_one_expected_f05",
     "d_one_to_one_threshold",
+    "d_policy_greedy",
 ]
 
 
