@@ -17,6 +17,7 @@ FASTER = [
     "d_one_to_one_expected_f05",
     "d_one_to_one_threshold",
     "d_policy_greedy",
+    "d_policy_state",
 ]
 
 
