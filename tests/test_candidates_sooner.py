@@ -18,6 +18,7 @@ FASTER = [
     "d_one_to_one_threshold",
     "d_policy_greedy",
     "d_policy_state",
+    "d_threshold",
 ]
 
 
