@@ -19,6 +19,7 @@ FASTER = [
     "d_policy_greedy",
     "d_policy_state",
     "d_threshold",
+    "f_addr_jaccard",
 ]
 
 
