@@ -20,6 +20,7 @@ FASTER = [
     "d_policy_state",
     "d_threshold",
     "f_addr_jaccard",
+    "f_addr_partial",
 ]
 
 
