@@ -21,6 +21,7 @@ FASTER = [
     "d_threshold",
     "f_addr_jaccard",
     "f_addr_partial",
+    "f_addr_len_diff",
 ]
 
 
