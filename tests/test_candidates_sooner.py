@@ -22,6 +22,7 @@ FASTER = [
     "f_addr_jaccard",
     "f_addr_partial",
     "f_addr_len_diff",
+    "f_all",
 ]
 
 
