@@ -23,6 +23,7 @@ FASTER = [
     "f_addr_partial",
     "f_addr_len_diff",
     "f_all",
+    "f_addr_token_sort",
 ]
 
 
