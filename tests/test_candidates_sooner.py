@@ -24,6 +24,7 @@ FASTER = [
     "f_addr_len_diff",
     "f_all",
     "f_addr_token_sort",
+    "f_country_match",
 ]
 
 
