@@ -25,6 +25,7 @@ FASTER = [
     "f_all",
     "f_addr_token_sort",
     "f_country_match",
+    "f_jaccard",
 ]
 
 
