@@ -26,6 +26,7 @@ FASTER = [
     "f_addr_token_sort",
     "f_country_match",
     "f_jaccard",
+    "f_partial",
 ]
 
 
