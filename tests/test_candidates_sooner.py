@@ -27,6 +27,7 @@ FASTER = [
     "f_country_match",
     "f_jaccard",
     "f_partial",
+    "f_token_sort",
 ]
 
 
