@@ -28,6 +28,7 @@ FASTER = [
     "f_jaccard",
     "f_partial",
     "f_token_sort",
+    "g_calibrated",
 ]
 
 
