@@ -29,6 +29,7 @@ FASTER = [
     "f_partial",
     "f_token_sort",
     "g_calibrated",
+    "f_len_diff",
 ]
 
 
